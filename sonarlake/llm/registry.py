@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op8_ecoc_langid
 from .media import op5_media_tiles
 from .packing import op6_gga_packing
+from .toxicity import op2_ftrl_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_media_tiles, op6_gga_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ftrl_toxicity, op5_media_tiles, op6_gga_packing, op8_ecoc_langid)}
 ORACLES: dict[str, str] = {}

@@ -50,6 +50,12 @@ class Words(NamedTuple):
     end: np.ndarray
     at: np.ndarray
     data: np.ndarray
+    sums: np.ndarray
+
+    def prefix(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of each word (of all of it, if shorter)."""
+        end = np.minimum(self.end, self.start + k)
+        return mix((self.sums[end] - self.sums[self.start]) * _powers("q", _PINV, len(self.sums))[self.start])
 
 
 def strings(column: pa.Array) -> pa.Array:
@@ -89,7 +95,7 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return Words(z.astype(np.uint64), z, z, np.zeros(len(edge), np.int64), data)
+        return Words(z.astype(np.uint64), z, z, np.zeros(len(edge), np.int64), data, np.zeros(1, np.uint64))
     inside = np.zeros(n + 1, bool)
     inside[:n] = IS_WORD[data]
     first = inside[:n].copy()
@@ -102,7 +108,7 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("p", _P, n), out=sums[1:])
     h = mix((sums[end] - sums[start]) * _powers("q", _PINV, n)[start])
-    return Words(h, start, end, np.searchsorted(start, edge), data)
+    return Words(h, start, end, np.searchsorted(start, edge), data, sums)
 
 
 def grams(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
