@@ -1,9 +1,99 @@
-"""Stages over the documents table."""
+"""From raw documents to packed sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
+that the stage before kept, and its decisions take effect. All but the last
+return the columns of ``docs``. What a stage writes on its way is deleted when
+the next one begins, by when its result has been written and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sonarlake.llm.decontaminate import leaks
+from sonarlake.llm.lines import line_dedup
+from sonarlake.llm.neardup import near_duplicates
+from sonarlake.llm.packing import pack_documents
+from sonarlake.llm.store import fresh, materialise, release, scoped
+from sonarlake.llm.toxicity import labelled_sample, train, without_toxic
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Not built yet."""
-    raise NotImplementedError
+def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``docs`` but for those in ``ids`` (doc_id); a small table of ids is broadcast by its size on disk."""
+    gone = fresh("_gone_id", docs.columns)
+    stored = materialise(ids.select(F.col("doc_id").alias(gone)).where(F.col(gone).isNotNull()).distinct(), label)
+    return docs.join(stored, docs["doc_id"] == stored[gone], "left_anti")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; a null or empty text stays."""
+    release(spark, "pipeline")
+    with scoped("pipeline"):
+        return without_toxic(docs, train(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines go; so does a document of which nothing is left. ``n_chars`` follows the text."""
+    release(spark, "pipeline")
+    with scoped("pipeline"):
+        out = line_dedup(docs)
+        n = fresh("n_removed", docs.columns)
+        out = out.where((F.col(n) == 0) | (F.col("text") != ""))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.when(F.col(n) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        return out.select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the one of least id."""
+    release(spark, "pipeline")
+    with scoped("pipeline"):
+        out = _without(docs, near_duplicates(docs).where("not is_kept"), "near-gone")
+        return out if docs.isEmpty() else _once(docs, out)
+
+
+def _once(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """``out`` with rows that repeat an id and a text reduced to one; asks for a shuffle only if ids repeat."""
+    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return out
+    h = fresh("_text_hash", docs.columns)
+    return out.withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h]).drop(h)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    release(spark, "pipeline")
+    with scoped("pipeline"):
+        return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leak-gone")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of what is left."""
+    release(spark, "pipeline")
+    with scoped("pipeline"):
+        return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            with scoped(f"pipeline-docs-{k % 2}"):
+                docs = materialise(docs, "pipeline-docs")
+            release(spark, f"pipeline-docs-{(k + 1) % 2}")
+    return docs

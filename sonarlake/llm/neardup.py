@@ -38,7 +38,7 @@ BITS = 128
 STRIP = 32
 WEIGHT = 9
 RADIUS = 34
-RECALL = 0.997
+RECALL = 0.9995
 BRUTE = 4096
 NEAREST = 12
 

@@ -9,11 +9,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
 _fallback: list[str] = []
+_scope: ContextVar[str] = ContextVar("scope", default="query")
+
+
+@contextmanager
+def scoped(name: str) -> Iterator[None]:
+    """Tables written inside belong to this group."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name``, or with underscores before it, so that no column is called that."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,15 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
-def materialise(df: DataFrame, label: str, scope: str = "query") -> DataFrame:
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the copy.
 
-    ``scope`` names the group under which :func:`release` deletes it later.
+    :func:`release` deletes it, by the group named in :func:`scoped`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sonarlake/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(scope, []).append(path)
+    _written.setdefault(_scope.get(), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

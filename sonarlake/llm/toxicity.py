@@ -104,25 +104,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN)
     return text.join(F.broadcast(few), "id").select("h", "text", "y")  # `few` has `limit` rows at most
 
 
+def scores(column: pa.Array, table: np.ndarray) -> np.ndarray:
+    """A score of each text, by a table of weights with the intercept last."""
+    used = table != 0
+    out = np.empty(len(column))
+    for at, texts in w.blocks(column):
+        row, f = features(texts)
+        hit = used[f]
+        pair = np.unique(row[hit].astype(np.int64) << BITS | f[hit])
+        total = np.bincount(pair >> BITS, table[pair & ((1 << BITS) - 1)], minlength=len(texts)) + table[-1]
+        out[at : at + len(texts)] = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if used.any() else 0.0
+    return out
+
+
+def full_table(weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Compact weights spread over all features."""
+    table = np.zeros((1 << BITS) + 1)
+    table[weights[0]] = weights[1]
+    return table
+
+
+def compact(docs: DataFrame, weights: list[tuple[int, float]]):
+    """The weights as two arrays, broadcast; at most 2**BITS + 1 pairs."""
+    return docs.sparkSession.sparkContext.broadcast((np.array([i for i, _ in weights], np.int64), np.array([x for _, x in weights])))
+
+
+def without_toxic(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under 0.5."""
+    shared, text = compact(docs, weights), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        table = full_table(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(text), table) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    index, value = np.array([i for i, _ in weights], np.int64), np.array([x for _, x in weights])
-    compact = docs.sparkSession.sparkContext.broadcast((index, value))  # at most 2**BITS + 1 pairs
+    shared = compact(docs, weights)
 
     def run(batches: Iterable[pa.RecordBatch]):
-        i, x = compact.value
-        table = np.zeros((1 << BITS) + 1)
-        table[i] = x
-        used = table != 0
+        table = full_table(shared.value)
         for b in batches:
-            scores = np.empty(b.num_rows)
-            for at, texts in w.blocks(b.column(2)):
-                row, f = features(texts)
-                hit = used[f]
-                pair = np.unique(row[hit].astype(np.int64) << BITS | f[hit])
-                total = np.bincount(pair >> BITS, table[pair & ((1 << BITS) - 1)], minlength=len(texts)) + table[-1]
-                scores[at : at + len(texts)] = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(i) else 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            x = scores(b.column(2), table)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x), pa.array((x >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
