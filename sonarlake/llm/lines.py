@@ -30,19 +30,29 @@ WORDS = 40
 
 def windows(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
     """(doc_id, th, p, q, f, w): windows from line p to q with fingerprint line f's hash and the text's digest."""
-    base = docs.where("text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("s"))
-    base = base.withColumn("h", F.expr("transform(s, x -> xxhash64(x))")).withColumn("n", F.expr("transform(s, x -> 1 + length(x) - length(replace(x, ' ', '')))"))
-
-    def last(p: str, k: int) -> str:  # the line at which the window from p ends, k lines on or sooner
-        if k >= lines - 1:
-            return f"{p} + {k}"
-        total = " + ".join(f"get(n, {p} + {j})" for j in range(k + 1))
-        return f"case when {total} >= {words} then {p} + {k} else {last(p, k + 1)} end"
-
-    at = base.select("doc_id", "th", "s", "h", F.expr(f"transform(sequence(0, size(s) - 1), p -> struct(p as p, {last('p', 0)} as q))").alias("at"))
-    ends = at.withColumn("at", F.expr("filter(at, x -> x.q < size(s))"))
-    rows = ends.withColumn("at", F.expr("transform(at, x -> struct(x.p as p, x.q as q, array_min(slice(h, x.p + 1, x.q - x.p + 1)) as f, unhex(md5(array_join(slice(s, x.p + 1, x.q - x.p + 1), '\n'))) as w))"))
-    return rows.select("doc_id", "th", F.inline("at"))
+    text = F.col("text")
+    line = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("s"), F.xxhash64(x).alias("h"), (1 + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).alias("n")))
+
+    def window(x: Column, p: Column) -> Column:  # x: the line and those after it, null past the end
+        at = [x[f"l{k}"] for k in range(lines)]
+        rows = []
+        for k in range(lines):
+            run = at[: k + 1]
+            joined = F.concat_ws("\n", *(v["s"] for v in run))
+            f = F.least(*(v["h"] for v in run)) if k else run[0]["h"]
+            whole = F.struct(p.alias("p"), (p + k).alias("q"), f.alias("f"), F.unhex(F.md5(joined)).alias("w"))
+            rows.append((sum((v["n"] for v in run), F.lit(0)) >= words, F.when(run[-1].isNotNull(), whole)))
+        out = rows[-1][1]
+        for enough, whole in reversed(rows[:-1]):
+            out = F.when(enough, whole).otherwise(out)
+        return out
+
+    def of(v: Column) -> Column:  # v is bound, so that it is made once a text and not once a line
+        ahead = F.arrays_zip(*(F.slice(v, k + 1, F.size(v)).alias(f"l{k}") for k in range(lines)))
+        return F.filter(F.transform(ahead, window), lambda x: x.isNotNull())
+
+    bound = F.get(F.transform(F.array(line), of), F.lit(0))
+    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.inline(bound))
 
 
 def repeated(wins: DataFrame) -> DataFrame:
@@ -58,8 +68,10 @@ def repeated(wins: DataFrame) -> DataFrame:
 def kept(text: Column, gone: Column) -> Column:
     """The text without the lines whose numbers are in ``gone``."""
     s = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(s) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(s, i)), "\n"))
+    both = F.struct(s.alias("s"), F.array_except(F.sequence(F.lit(0), F.size(s) - 1), gone).alias("stay"))
+    # bound in an array of one, so that the text is split once and not once a line
+    joined = F.transform(F.array(both), lambda v: F.array_join(F.transform(v["stay"], lambda i: F.get(v["s"], i)), "\n"))
+    return F.when(gone.isNull(), text).otherwise(F.get(joined, F.lit(0)))
 
 
 def line_dedup(docs: DataFrame, keep: list[str] | None = None, lines: int = LINES, words: int = WORDS) -> DataFrame:
