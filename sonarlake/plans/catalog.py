@@ -1,22 +1,8 @@
-"""Queries by name, each with the SQL that gives the same rows."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import speech, waves  # noqa: F401 - they register their queries
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Register a function (spark, sf_dir) under ``name``."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+__all__ = ["ORACLES", "QUERIES"]
