@@ -6,8 +6,9 @@ random mask on a random strip of coordinates is small; near pairs survive this
 together far more often than chance. Lists are drawn until the target recall at
 similarity 0.8 is reached; a list that is still long is filtered again on another
 strip, a short one is searched by brute force. Pairs within ``RADIUS`` are
-verified by the exact Jaccard similarity of their shingle sets, each node's
-nearest partners first, then whatever still joins two classes; so copies within
+first compared by the least ``SKETCH`` shingle hashes of both, then verified by
+the exact Jaccard similarity of their shingle sets, each node's nearest partners
+first, then whatever still joins two classes; so copies within
 a class need not be paired with each other. Classes are connected components.
 
 Defined results: a null text counts as empty; equal texts (empty ones too) are
@@ -37,7 +38,9 @@ SIMILARITY = 0.8
 BITS = 128
 STRIP = 32
 WEIGHT = 9
-RADIUS = 34
+RADIUS = 30
+SKETCH = 64
+LIKELY = 0.6
 RECALL = 0.9995
 BRUTE = 4096
 NEAREST = 12
@@ -48,11 +51,11 @@ for _k in range(8):
 
 
 def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text of a block."""
+    """Distinct shingle hashes of each text of a block, sorted as signed numbers."""
     t = w.words(texts)
     g, at = w.grams(t.h, t.at, SHINGLE)
     for k in range(len(at) - 1):
-        yield np.unique(g[at[k] : at[k + 1]])
+        yield np.unique(g[at[k] : at[k + 1]].view(np.int64)).view(np.uint64)
 
 
 def simhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -242,6 +245,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return cols.join(ids, "node", "left_semi").mapInArrow(run, "node long, s array<long>")
 
 
+def likely(pairs: DataFrame, sets: DataFrame, at_least: float = LIKELY) -> DataFrame:
+    """The pairs whose similarity, by the least shingle hashes, is not far below the threshold."""
+    few = sets.select("node", F.slice("s", 1, SKETCH).alias("k"))
+    both = pairs.join(few.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(few.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    least = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
+    shared = F.size(F.array_intersect(least, F.array_intersect("ka", "kb")))
+    return both.where(shared >= at_least * F.size(least)).select(*pairs.columns)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity is at least ``similarity``."""
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -263,6 +275,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     pairs = found.where("d >= 0")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialise(shingle_sets(docs, ids).dropDuplicates(["node"]), "near-sets")
+    pairs = materialise(likely(pairs, sets), "near-likely")
     # each node's nearest and least partner first
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     first = each.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"), F.min("b").alias("y")).select("a", F.explode(F.array("x.b", "y")).alias("b"))
@@ -283,7 +296,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
         only = found.where("d < 0").select(F.col("a").alias("list")).distinct()
         more = materialise(candidates(named, levels, count, True, only).where("d >= 0").join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
         ids = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        links = materialise(links.unionByName(verified(more, shingle_sets(docs, ids).dropDuplicates(["node"]), similarity)), "near-links")
+        extra = materialise(shingle_sets(docs, ids).dropDuplicates(["node"]), "near-sets")
+        links = materialise(links.unionByName(verified(likely(more.select("a", "b"), extra), extra, similarity)), "near-links")
     label = components(links)
     classed = nodes.select("k0", "k1", "node", "n").join(label, "node", "left").select("k0", "k1", F.coalesce("class", "node").alias("class_id"), F.col("node"))
     out = sig.join(classed, ["k0", "k1"])
