@@ -40,6 +40,7 @@ COLLIDE = 0.95
 FEW = 12
 EDITS = 0.1
 CROWD = 64
+MOST_BITS = 1 << 28
 
 
 def tuned(similarity: float = SIMILARITY, collide: float = COLLIDE, most: int = 12) -> tuple[int, int]:
@@ -130,6 +131,50 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, start int, stop int, key long, " + ", ".join(f"m{k} long" for k in range(bands)))
 
 
+def met_twice(paras: DataFrame, bands: int) -> DataFrame:
+    """Paragraphs whose value in some band may occur twice; never without one that does.
+
+    Values (of 40 bits) are counted over all paragraphs; those met twice are set in
+    a bitmap of about ten bits each, of ``MOST_BITS`` (32 MB) at most. It only
+    spares later steps the lone paragraphs: where it fills up, more of them pass.
+    """
+    values = paras.select(F.explode(F.array(*(F.col(f"m{k}") for k in range(bands)))).alias("v"))
+    twice = materialise(values.select(F.shiftrightunsigned("v", 24).alias("v")).groupBy("v").count().where("count > 1").select("v"), "para-twice")
+    size = 1 << 16
+    while size < min(MOST_BITS, 10 * twice.count()):
+        size *= 2
+
+    def places(v: np.ndarray) -> list[np.ndarray]:
+        x = w.mix(v.view(np.uint64))
+        return [x & np.uint64(size - 1), (x >> np.uint64(32)) & np.uint64(size - 1)]
+
+    def build(batches: Iterable[pa.RecordBatch]):
+        bits = np.zeros(size, bool)
+        for b in batches:
+            for at in places(b.column(0).to_numpy()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    packed = np.zeros(size // 8, np.uint8)
+    for r in twice.repartition(4).mapInArrow(build, "bits binary").toLocalIterator():  # four bitmaps, one at a time
+        packed |= np.frombuffer(bytes(r.bits), np.uint8)
+    shared = paras.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        bits = shared.value
+        for b in batches:
+            some = np.zeros(b.num_rows, bool)
+            for k in range(bands):
+                v = b.column(4 + k).to_numpy().view(np.uint64) >> np.uint64(24)
+                hit = np.ones(b.num_rows, bool)
+                for at in places(v.view(np.int64)):
+                    hit &= (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+                some |= hit
+            yield b.filter(pa.array(some))
+
+    return paras.mapInArrow(run, paras.schema)
+
+
 def colliding(nodes: DataFrame, bands: int) -> DataFrame:
     """(a, b) with a < b of nodes that share a band.
 
@@ -169,7 +214,8 @@ def contents(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     need = keys.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # of one document each
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.join(need, "doc_id").mapInArrow(run, "key long, s array<long>, h array<long>")
+    # hashed at every size: the documents asked for grow with the input, so they aren't broadcast
+    return cols.join(need.hint("shuffle_hash"), "doc_id").mapInArrow(run, "key long, s array<long>, h array<long>")
 
 
 def _edits(a: list[int], b: list[int], most: int) -> bool:
@@ -208,7 +254,7 @@ def joined(pairs: DataFrame, parts: DataFrame, similarity: float = SIMILARITY) -
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, first_doc_id, class_id, start_word, end_word, removed, run_words) of repeated paragraphs."""
     bands, rows = tuned(similarity)
-    paras = materialise(paragraphs(docs, bands, rows), "para-all")
+    paras = materialise(met_twice(materialise(paragraphs(docs, bands, rows), "para-all"), bands), "para-some")
     place = F.struct(F.col("doc_id"), F.col("start"), F.col("stop"))
     nodes = materialise(paras.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(f"m{k}").alias(f"m{k}") for k in range(bands))), "para-nodes")
     pairs = materialise(colliding(nodes.drop("first", "last"), bands), "para-pairs")
