@@ -77,12 +77,13 @@ def kept(text: Column, gone: Column) -> Column:
 def line_dedup(docs: DataFrame, keep: list[str] | None = None, lines: int = LINES, words: int = WORDS) -> DataFrame:
     """``docs`` with ``text`` rid of repeated runs, and n_lines, n_removed (underscored if taken)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = materialise(repeated(materialise(windows(src, lines, words), "line-windows")), "line-gone")  # its size decides on a broadcast
+    gone = materialise(repeated(materialise(windows(src, lines, words), "line-windows")), "line-gone")
     cols = [c for c in (docs.columns if keep is None else keep) if c not in ("doc_id", "text")]
     i, th, g = (fresh(x, cols) for x in ("_id", "_th", "_gone"))
     gone = gone.toDF(i, th, g)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(docs[c] for c in cols))
-    both = src.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(th)), "left")
+    # hashed by document at every size; the lists to delete grow with the input, so they aren't broadcast
+    both = src.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(th)), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return both.select("doc_id", kept(F.col("text"), F.col(g)).alias("text"), *cols, n.cast("long").alias(fresh("n_lines", cols)), F.coalesce(F.size(g), F.lit(0)).cast("long").alias(fresh("n_removed", cols)))
 
