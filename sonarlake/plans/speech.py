@@ -192,3 +192,9 @@ def guest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named speakers, or a guest by number; orders stand in for streams."""
     named = F.when(F.col("o_orderstatus") == "O", F.col("o_orderstatus"))
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.guest_name(named, F.col("o_custkey")).alias("speaker"))
+
+
+@query("last_turns", "select conv_id, max(turn) as turn, max_by(text, turn) as text, count(distinct role) as speakers from conversations group by conv_id")
+def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last write wins by conversation, and its distinct speakers."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"), F.countDistinct("role").alias("speakers"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import signal
+from ..functions import buffers, signal
 from ..operators import frames as fr
 from ..operators import notes, sounds
 from ..operators import vectors as vec
@@ -252,3 +252,20 @@ def sound_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of the voices by their mean coefficients."""
     lib = sounds.library(spark, 2.0, 8000).select("key", F.col("mfcc_means").alias("mean"))
     return vec.all_pairs(lib).select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query(
+    "channel_buffers",
+    """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as y from embeddings)
+select vec_id, round(list_sum(list_transform(range(1, 33), lambda i: (y[2 * i - 1] + y[2 * i]) / 2 * i)), 5) as mono, round(list_sum(y) * 2, 5) as stereo, cast(80 as bigint) as padded, round(y[5], 6) as fifth, round(list_sum(y), 5) as kept from e""",
+)
+def channel_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as interleaved buffers: mixed down, doubled, padded, one channel cleared."""
+    y = F.col("embedding")
+    down = F.transform(buffers.mono(y), lambda v, i: v * (i + 1))
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    two = buffers.cleared(F.array(y.cast("array<double>"), y.cast("array<double>")), 1)
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.round(add(down), 5).alias("mono"), F.round(add(buffers.stereo(y)), 5).alias("stereo"), F.size(buffers.sized(y, 80)).cast("long").alias("padded"),
+        F.round(F.get(buffers.preview(y), F.lit(4)).cast("double"), 6).alias("fifth"), F.round(add(F.flatten(two)), 5).alias("kept"),
+    )
