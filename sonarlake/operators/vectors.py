@@ -31,9 +31,13 @@ def all_pairs(library: DataFrame) -> DataFrame:
 
 
 def against_one(df: DataFrame, key: str, vector: str, one: int) -> DataFrame:
-    """(key, d): one entry against every other; the one row is all that is sent around."""
-    single = df.where(F.col(key) == one).limit(1).select(F.col(vector).alias("_v"))
-    return df.where(F.col(key) != one).crossJoin(F.broadcast(single)).select(F.col(key), distance(F.col(vector), F.col("_v")).alias("d"))
+    """(key, d): one entry against every other; its vector becomes a literal, so nothing is joined."""
+    found = df.where(F.col(key) == one).select(vector).first()
+    rest = df.where(F.col(key) != one)
+    if found is None:
+        return rest.limit(0).select(F.col(key), F.lit(0.0).alias("d"))
+    single = F.array(*(F.lit(float(v)) for v in found[0]))
+    return rest.select(F.col(key), distance(F.col(vector), single).alias("d"))
 
 
 def distance_maps(pairs: DataFrame) -> DataFrame:
