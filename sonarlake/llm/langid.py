@@ -113,9 +113,10 @@ def sample(docs: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
     """At most ``limit`` rows (h, text, lang), about as many of each language."""
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").count()
-    share = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("n")))).select("lang", (F.lit(float(limit)) / F.col("n") / F.col("count")).alias("p"))  # one row a language by one row
+    found = counts.limit(10_000).collect()  # a row a language
+    share = docs.sparkSession.createDataFrame([(r.lang, limit / len(found) / r["count"]) for r in found], "lang string, p double")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    return known.join(F.broadcast(share.limit(10_000)), "lang").where(unit < F.col("p")).select(F.xxhash64("doc_id").alias("h"), "text", "lang").limit(limit + limit // 4)
+    return known.join(F.broadcast(share), "lang").where(unit < F.col("p")).select(F.xxhash64("doc_id").alias("h"), "text", "lang").limit(limit + limit // 4)
 
 
 def train(rows: DataFrame) -> dict | None:
