@@ -191,39 +191,36 @@ def latent_space(rows: DataFrame, weight: np.ndarray, items: list[np.ndarray], r
 
     heavy = max(1.0, rows.count() / len(some))
 
-    def sums(basis: np.ndarray, small: bool) -> np.ndarray:
-        """A'(A basis), or (A basis)'(A basis), over all rows."""
-        shared = sc.broadcast((weight.astype(np.float32), basis.astype(np.float32)))
+    def product(basis: np.ndarray) -> np.ndarray:
+        """A'(A basis) over all rows; weights are taken in before and after, not per entry."""
+        shared = sc.broadcast(((basis * weight[:, None]).astype(np.float32), (weight * weight).astype(np.float32)))
 
         def block(off: np.ndarray, ids: np.ndarray, total: np.ndarray) -> None:
-            wt, bs = shared.value
-            y = project(off, ids, wt, bs)
-            if small:
-                total += y.T @ y
-                return
-            n = np.diff(off)
-            x = wt[ids] / np.repeat(np.sqrt(np.add.reduceat(wt[ids] ** 2, off[:-1])), n)
+            scaled, square = shared.value
+            y = np.add.reduceat(scaled[ids], off[:-1], axis=0) / np.add.reduceat(square[ids], off[:-1])[:, None]
             order = np.argsort(ids, kind="stable")
-            heads = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            total[ids[order][heads]] += np.add.reduceat((y[np.repeat(np.arange(len(n)), n)] * x[:, None])[order], heads, axis=0)
+            word = ids[order]
+            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))[order]
+            total[word[heads]] += np.add.reduceat(y[row], heads, axis=0)
 
         def run(batches: Iterable[pa.RecordBatch]):
-            total = np.zeros((k, k) if small else (size, k))
+            total = np.zeros((size, k))
             for b in batches:
-                for s in range(0, b.num_rows, 1000):
-                    block(*_rows(b.column(0).slice(s, 1000)), total)
+                for s in range(0, b.num_rows, 2000):
+                    block(*_rows(b.column(0).slice(s, 2000)), total)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
         got = summed(rows.select("ids").mapInArrow(run, "v binary"), "v", float)
-        total = np.zeros((k, k) if small else (size, k))
+        total = np.zeros((size, k))
         for s in range(0, len(off) - 1, 500):
             o = off[s : s + 501]
             block(o - o[0], ids[o[0] : o[-1]], total)
-        return heavy * total + (0 if got is None else got.reshape(-1, k))
+        return (heavy * total + (0 if got is None else got.reshape(-1, k))) * weight[:, None]
 
-    q = np.linalg.qr(sums(np.random.default_rng(3).standard_normal((size, k)), False))[0]
-    q = np.linalg.qr(sums(q, False))[0]
-    value, vector = np.linalg.eigh(sums(q, True))
+    q = np.linalg.qr(product(np.random.default_rng(3).standard_normal((size, k))))[0]
+    again = product(q)
+    value, vector = np.linalg.eigh(q.T @ again)  # Rayleigh-Ritz: the second product serves for it too
     return (q @ vector[:, ::-1][:, :rank]).astype(np.float32)
 
 
@@ -241,21 +238,27 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def judged(item: np.ndarray, answer: np.ndarray, content: np.ndarray, doc: np.ndarray, start: int) -> tuple[float, float] | None:
-    """(share of the item in order, share of its answer) around a passage, if it stands."""
+def judged(item: np.ndarray, answer: np.ndarray, content: np.ndarray, pos: np.ndarray, ids: np.ndarray, start: int) -> tuple[float, float] | None:
+    """(share of the item in order, share of its answer) around a passage, if it stands.
+
+    All words are vocabulary numbers, the document's with their places: a word that
+    is in no item cannot be part of a common subsequence.
+    """
     n = len(item)
-    region = doc[max(0, start - n) : start + PASSAGE + n]
+    lo, hi = max(0, start - n), start + PASSAGE + n
+    a, b = np.searchsorted(pos, (lo, hi))
+    pos, ids = pos[a:b], ids[a:b]
     must = np.intersect1d(item, content)
-    here = np.isin(region, must)
-    if len(np.unique(region[here])) < min(SHARED, len(must)):
+    if not len(pos) or len(np.intersect1d(ids, must)) < min(SHARED, len(must)):
         return None
     best, reach = 0.0, n + max(8, n // 3)
     step = max(4, n // 6)
-    for s in range(0, max(1, len(region) - reach + step), step):
-        best = max(best, lcs(item, region[s : s + reach]) / n)
+    for s in range(lo, max(lo + 1, int(pos[-1]) + 1 - reach + step), step):
+        c, d = np.searchsorted(pos, (s, s + reach))
+        best = max(best, lcs(item, ids[c:d]) / n)
     key = np.intersect1d(answer, content)
     key = key if len(key) else answer
-    found = float(np.isin(key, region).mean()) if len(key) else 0.0
+    found = float(np.isin(key, ids).mean()) if len(key) else 0.0
     return (best, found) if best >= COPY or (best >= PARAPHRASE and found >= ANSWER) else None
 
 
@@ -280,49 +283,59 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
     off = np.concatenate([[0], np.cumsum([len(own[k]) for k in live])])
     latent = project(off, np.concatenate([own[k] for k in live]), weight.astype(np.float32), basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    content = items.vocab[weight > 0]
+    content = np.flatnonzero(weight > 0)
     shared = sc.broadcast((weight.astype(np.float32), basis, latent.astype(np.float32), live, own, items, content))
 
     def search(batches: Iterable[pa.RecordBatch]):
-        wt, bs, lt, live, own, x, _ = shared.value
-        member = np.zeros((len(live), len(wt)), np.float32)
-        for r, k in enumerate(live):
-            member[r, own[k]] = 1
-        need = np.array([min(SHARED, len(own[k])) for k in live], np.float32)
+        wt, bs, lt, live, own, *_ = shared.value
+        need = np.array([min(SHARED, len(own[k])) for k in live])
+        flat = np.concatenate([own[k] for k in live])
+        by_word = np.argsort(flat, kind="stable")
+        holder = np.repeat(np.arange(len(live)), [len(own[k]) for k in live])[by_word]
+        ptr = np.searchsorted(flat[by_word], np.arange(len(wt) + 1))
         for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                off, ids = _rows(b.column(2).slice(s, 1000))
-                y = project(off, ids, wt, bs)
-                cos = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)) @ lt.T
-                r, c = np.nonzero(cos >= COSINE)
-                ok = np.array([member[j, ids[off[i] : off[i + 1]]].sum() >= need[j] for i, j in zip(r, c)], bool)
-                r, c = r[ok], c[ok]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 1000).take(pa.array(r)), b.column(1).slice(s, 1000).take(pa.array(r)), pa.array(np.array(live)[c] if len(c) else [], pa.int32()), pa.array(cos[r, c].astype(float))], ["doc_id", "start", "item", "cosine"])
+            for s in range(0, b.num_rows, 5000):
+                off, ids = _rows(b.column(2).slice(s, 5000))
+                row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                # content words that a passage shares with each item; fewer than needed cannot stand
+                n = ptr[ids + 1] - ptr[ids]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[ids], n)
+                pair, shares = np.unique(np.repeat(row, n) * len(live) + holder[at], return_counts=True)
+                pair = pair[shares >= need[pair % len(live)]]
+                r, c = pair // len(live), pair % len(live)
+                if not len(r):
+                    continue
+                used, back = np.unique(r, return_inverse=True)
+                mine = np.isin(row, used)
+                y = project(np.concatenate([[0], np.cumsum(np.diff(off)[used])]), ids[mine], wt, bs)
+                cos = (y[back] * lt[c]).sum(1) / np.maximum(np.linalg.norm(y, axis=1), 1e-9)[back]
+                ok = cos >= COSINE
+                r, c, cos = r[ok], c[ok], cos[ok]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 5000).take(pa.array(r)), b.column(1).slice(s, 5000).take(pa.array(r)), pa.array(np.array(live)[c].astype(np.int32)), pa.array(cos.astype(float))], ["doc_id", "start", "item", "cosine"])
 
     near = materialise(rows.mapInArrow(search, "doc_id long, start long, item int, cosine double"), "leak-candidates")
     per = near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "start", "cosine")).alias("c"))  # of one document each
 
     def decide(batches: Iterable[pa.RecordBatch]):
         *_, x, content = shared.value
+        item_words, answers = [x.lookup(v) for v in x.words], [x.lookup(v) for v in x.answers]
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            ask, doc_ids = b.column(2).to_pylist(), b.column(0).to_pylist()
-            for at, texts in w.blocks(b.column(1)):
-                t = w.words(texts)
-                for k in range(len(texts)):
-                    doc, best = t.h[t.at[k] : t.at[k + 1]], {}
-                    for c in ask[at + k]:
-                        i = c["item"]
-                        got = judged(x.words[i], x.answers[i], content, doc, c["start"])
-                        if got and (i not in best or got > best[i][:2]):
-                            best[i] = (*got, c["start"], c["cosine"])
-                    for i, (share, answer, start, cosine) in sorted(best.items()):
-                        for col, v in zip(out, (doc_ids[at + k], x.ids[i], share, answer, start, cosine)):
-                            col.append(v)
+            for doc_id, raw_pos, raw_ids, ask in zip(*(b.column(k).to_pylist() for k in range(4))):
+                pos, ids, best = np.frombuffer(raw_pos, np.uint32).astype(np.int64), np.frombuffer(raw_ids, np.uint32).astype(np.int32), {}
+                for c in ask:
+                    i = c["item"]
+                    got = judged(item_words[i], answers[i], content, pos, ids, c["start"])
+                    if got and (i not in best or got > best[i][:2]):
+                        best[i] = (*got, c["start"], c["cosine"])
+                for i, (share, answer, start, cosine) in sorted(best.items()):
+                    for col, v in zip(out, (doc_id, x.ids[i], share, answer, start, cosine)):
+                        col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()])], ["doc_id", "item_id", "lcs_share", "answer_share", "start_word", "cosine"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.join(per, "doc_id").mapInArrow(decide, "doc_id long, item_id long, lcs_share double, answer_share double, start_word long, cosine double")
+    # hashed at every size: the candidates grow with the input, so they aren't broadcast
+    asked = known.where("df is null").select("doc_id", "pos", "ids").join(per.hint("shuffle_hash"), "doc_id")
+    return asked.mapInArrow(decide, "doc_id long, item_id long, lcs_share double, answer_share double, start_word long, cosine double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
