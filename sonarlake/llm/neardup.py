@@ -242,7 +242,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["node", "s"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return cols.join(ids, "node", "left_semi").mapInArrow(run, "node long, s array<long>")
+    # hashed at every size: the ids grow with the input, so they aren't broadcast
+    return cols.join(ids.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node long, s array<long>")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, at_least: float = LIKELY) -> DataFrame:
