@@ -1,9 +1,10 @@
 """Substring dedup: MinHash banding of paragraphs.
 
-A text's words are cut where a word's hash is the least of its surroundings, so
-that a passage pasted anywhere falls into the same paragraphs, but for its two
-ends; line ends play no part. Paragraphs of at least ``LEAST`` words count, and a
-repeat is reported if it and the repeats that adjoin it have ``RUN`` words. Equal
+A text's words are cut at line ends and where a word's hash is the least of its
+surroundings, so that a passage pasted anywhere falls into the same paragraphs,
+but for its two ends. Paragraphs of at least ``LEAST`` words count, and a
+repeat is reported if it and the repeats that adjoin it (but for less than a
+paragraph between) have ``RUN`` words. Equal
 ones become one node. The others meet by MinHash: bands and rows are tuned so
 that a pair at the threshold collides with the wanted chance, colliding ones are
 joined, and a join stands if the exact Jaccard similarity of the five-word
@@ -56,8 +57,8 @@ def tuned(similarity: float = SIMILARITY, collide: float = COLLIDE, most: int =
     return best[1], best[2]
 
 
-def cuts(h: np.ndarray, at: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, end word) of every paragraph of at least LEAST words."""
+def cuts(h: np.ndarray, at: np.ndarray, lines: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end word) of every paragraph of at least LEAST words; ``at`` and ``lines`` begin texts and lines."""
     n = len(h)
     if not n:
         z = np.zeros(0, np.int64)
@@ -71,7 +72,7 @@ def cuts(h: np.ndarray, at: np.ndarray, reach: int = REACH) -> tuple[np.ndarray,
         np.minimum(after, padded[reach + 1 + k : reach + 1 + k + n], out=after)
     edge = np.zeros(n + 1, bool)
     edge[:n] = (pair < before) & (pair <= after)
-    edge[at] = True
+    edge[at] = edge[lines] = True
     starts = np.flatnonzero(edge)
     a, b = starts[:-1], starts[1:]
     keep = b - a >= LEAST
@@ -83,7 +84,7 @@ class Paragraphs:
 
     def __init__(self, texts: pa.Array) -> None:
         self.t = t = w.words(texts)
-        self.a, self.b = cuts(t.h, t.at)
+        self.a, self.b = cuts(t.h, t.at, np.searchsorted(t.start, np.flatnonzero(t.data == 10)))
         self.row = np.searchsorted(t.at, self.a, "right") - 1
         n = len(t.h)
         sums = np.zeros(n + 1, np.uint64)
@@ -104,12 +105,20 @@ class Paragraphs:
         return np.minimum.reduceat(np.append(x, np.uint64(2**64 - 1)), bounds)[::2]
 
 
+    def rest(self) -> np.ndarray:
+        """Four more MinHashes of 16 bits, side by side."""
+        out = np.zeros(len(self.a), np.uint64)
+        for k in range(4):
+            out |= (self.minhash(104_729 + 7919 * k) & np.uint64(0xFFFF)) << np.uint64(16 * k)
+        return out
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, start, stop, words, key, bands array): places in words of the text."""
+    """(doc_id, start, stop, key, m0.., x): places in words, digest, bands, further MinHashes."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
@@ -125,10 +134,10 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         v = w.mix(v * np.uint64(0x9E3779B97F4A7C15) + p.minhash(7919 * (k * rows + r + 1)))
                     band.append(v)
                 ids = b.column(0).slice(at, len(texts)).take(pa.array(p.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((p.a - base).astype(np.int32)), pa.array((p.b - base).astype(np.int32)), _long(p.key), *map(_long, band)], ["doc_id", "start", "stop", "key", *(f"m{k}" for k in range(bands))])
+                yield pa.RecordBatch.from_arrays([ids, pa.array((p.a - base).astype(np.int32)), pa.array((p.b - base).astype(np.int32)), _long(p.key), *map(_long, band), _long(p.rest())], ["doc_id", "start", "stop", "key", *(f"m{k}" for k in range(bands)), "x"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, start int, stop int, key long, " + ", ".join(f"m{k} long" for k in range(bands)))
+    return cols.mapInArrow(run, "doc_id long, start int, stop int, key long, " + ", ".join(f"m{k} long" for k in range(bands)) + ", x long")
 
 
 def met_twice(paras: DataFrame, bands: int) -> DataFrame:
@@ -176,22 +185,29 @@ def met_twice(paras: DataFrame, bands: int) -> DataFrame:
 
 
 def colliding(nodes: DataFrame, bands: int) -> DataFrame:
-    """(a, b) with a < b of nodes that share a band.
+    """(a, b) with a < b of nodes (key, m0.., x) that share a band.
 
-    Members of small groups are paired in the group's row. A crowded group is cut
-    into blocks and each pair of blocks is a row of its own, so none grows with
-    the group.
+    Members of a small group are paired in the group's row. A crowded group is
+    banded again by two of four further MinHashes, of which a pair at the threshold
+    shares two with a chance of 0.97. What is crowded still holds paragraphs that
+    are much alike; it is cut into blocks, and each pair of blocks is a row.
     """
-    entries = nodes.select("key", F.posexplode(F.array(*(F.col(f"m{k}") for k in range(bands)))).alias("band", "v"))
-    sizes = entries.groupBy("band", "v").agg(F.count("*").alias("c")).where("c > 1")
-    members = materialise(entries.join(sizes, ["band", "v"]).withColumn("blocks", F.ceil(F.col("c") / CROWD).cast("int")), "para-members")
-    block = members.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).groupBy("band", "v", "blocks", "i").agg(F.collect_list("key").alias("keys"))
-    pairs = "filter(flatten(transform(x, p -> transform(y, q -> struct(least(p, q) as a, greatest(p, q) as b)))), z -> z.a < z.b)"
-    small = block.where("blocks = 1").select(F.expr(f"inline({pairs.replace('x,', 'keys,').replace('(y,', '(keys,')})"))
+    entries = nodes.select("key", "x", F.posexplode(F.array(*(F.col(f"m{k}") for k in range(bands)))).alias("band", "v")).select("key", "x", F.xxhash64("band", "v").alias("v"))
+    sizes = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    members = materialise(entries.join(sizes, "v"), "para-members")
+    part = lambda k: F.shiftrightunsigned("x", 16 * k).bitwiseAND(0xFFFF)
+    again = [F.xxhash64("v", F.lit(i), part(i), F.lit(j), part(j)) for i in range(4) for j in range(i)]
+    fine = members.where(F.col("c") > CROWD).select("key", F.explode(F.array(*again)).alias("v"))
+    fine = fine.join(fine.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
+    placed = members.where(F.col("c") <= CROWD).select("key", "v", "c").unionByName(fine.select("key", "v", "c")).withColumn("blocks", F.ceil(F.col("c") / CROWD).cast("int"))
+    block = placed.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).groupBy("v", "blocks", "i").agg(F.collect_list("key").alias("keys"))
+    block = materialise(block, "para-blocks")
+    pairs = "filter(flatten(transform({x}, p -> transform({y}, q -> struct(least(p, q) as a, greatest(p, q) as b)))), z -> z.a < z.b)"
+    small = block.where("blocks = 1").select(F.expr("inline(" + pairs.format(x="keys", y="keys") + ")"))
     many = block.where("blocks > 1")
-    left = many.select("band", "v", F.col("keys").alias("x"), F.col("i"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
-    both = left.join(many.select("band", "v", F.col("i").alias("j"), F.col("keys").alias("y")), ["band", "v", "j"])
-    return small.unionByName(both.select(F.expr(f"inline({pairs})"))).distinct()
+    left = many.select("v", F.col("keys").alias("x"), F.col("i"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    both = left.join(many.select("v", F.col("i").alias("j"), F.col("keys").alias("y")), ["v", "j"])
+    return small.unionByName(both.select(F.expr("inline(" + pairs.format(x="x", y="y") + ")"))).distinct()
 
 
 def contents(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -256,7 +272,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     bands, rows = tuned(similarity)
     paras = materialise(met_twice(materialise(paragraphs(docs, bands, rows), "para-all"), bands), "para-some")
     place = F.struct(F.col("doc_id"), F.col("start"), F.col("stop"))
-    nodes = materialise(paras.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(f"m{k}").alias(f"m{k}") for k in range(bands))), "para-nodes")
+    nodes = materialise(paras.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in (*(f"m{k}" for k in range(bands)), "x"))), "para-nodes")
     pairs = materialise(colliding(nodes.drop("first", "last"), bands), "para-pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     named = nodes.join(keys, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"))
@@ -270,7 +286,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     out = out.select("doc_id", F.col("head.doc_id").alias("first_doc_id"), "class_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word"), (here != F.col("head")).alias("removed")).distinct()
     # runs of adjoining repeats, within one document
     by_doc = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "class_id")
-    out = out.withColumn("new", (F.col("start_word") > F.coalesce(F.lag("end_word").over(by_doc), F.lit(-1))).cast("int"))
+    out = out.withColumn("new", (F.col("start_word") > F.coalesce(F.lag("end_word").over(by_doc), F.lit(-LEAST)) + LEAST).cast("int"))
     out = out.withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     length = Window.partitionBy("doc_id", "run")
     out = out.withColumn("run_words", F.max("end_word").over(length) - F.min("start_word").over(length))

@@ -323,9 +323,13 @@ def test_bands():
 
 
 def test_crowded_bands_are_whole(spark):
-    keys = [(k, 5, 100 + k) for k in range(150)]
-    got = substrings.colliding(spark.createDataFrame(keys, "key long, m0 long, m1 long"), 2)
+    keys = [(k, 5, 100 + k, 7) for k in range(150)]
+    got = substrings.colliding(spark.createDataFrame(keys, "key long, m0 long, m1 long, x long"), 2)
     assert got.count() == 150 * 149 // 2
+    # a crowd of unlike members is split by the further values: only those that share two are paired
+    keys = [(k, 5, 100 + k, k // 2 + ((k // 2) << 16) + (k << 32) + (k << 48)) for k in range(150)]
+    got = substrings.colliding(spark.createDataFrame(keys, "key long, m0 long, m1 long, x long"), 2)
+    assert {(r.a, r.b) for r in got.collect()} == {(k, k + 1) for k in range(0, 150, 2)}
 
 
 def test_similar_paragraphs_join(spark):
