@@ -81,11 +81,12 @@ def simhash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, k0, k1, n, f0, f1): digest of the text, number of shingles, SimHash."""
+    """(doc_id, k0, k1, n, f0, f1, k): digest of the text, number of shingles, SimHash, and the high halves of the least shingle hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             keys, n, f = np.zeros((b.num_rows, 2), np.int64), np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, 2), np.uint64)
+            least: list[np.ndarray] = []
             for at, texts in w.blocks(b.column(1)):
                 off, raw = w.buffers(texts)
                 data = memoryview(raw)
@@ -94,11 +95,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = list(shingles(texts))
                 n[at : at + len(texts)] = [len(s) for s in sets]
                 f[at : at + len(texts)] = simhash(sets)
+                least += [(s[:SKETCH].view(np.int64) >> 32).astype(np.int32) for s in sets]
             f = f.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (keys[:, 0].copy(), keys[:, 1].copy(), n, f[:, 0].copy(), f[:, 1].copy()))], ["doc_id", "k0", "k1", "n", "f0", "f1"])
+            cut = np.concatenate([[0], np.cumsum([len(s) for s in least])]).astype(np.int32)
+            sketch = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(least) if least else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (keys[:, 0].copy(), keys[:, 1].copy(), n, f[:, 0].copy(), f[:, 1].copy())), sketch], ["doc_id", "k0", "k1", "n", "f0", "f1", "k"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, k0 long, k1 long, n int, f0 long, f1 long")
+    return cols.mapInArrow(run, "doc_id long, k0 long, k1 long, n int, f0 long, f1 long, k array<int>")
 
 
 def survival(p: float, strip: int = STRIP, weight: int = WEIGHT) -> tuple[float, float]:
@@ -246,10 +250,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return cols.join(ids.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node long, s array<long>")
 
 
-def likely(pairs: DataFrame, sets: DataFrame, at_least: float = LIKELY) -> DataFrame:
+def likely(pairs: DataFrame, sketches: DataFrame, at_least: float = LIKELY) -> DataFrame:
     """The pairs whose similarity, by the least shingle hashes, is not far below the threshold."""
-    few = sets.select("node", F.slice("s", 1, SKETCH).alias("k"))
-    both = pairs.join(few.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(few.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sketches.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
     least = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, SKETCH)
     shared = F.size(F.array_intersect(least, F.array_intersect("ka", "kb")))
     return both.where(shared >= at_least * F.size(least)).select(*pairs.columns)
@@ -265,7 +268,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_shingles, is_kept): one row per document."""
     sig = materialise(signatures(docs), "near-signatures")
-    nodes = sig.groupBy("k0", "k1").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    nodes = sig.groupBy("k0", "k1").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("k").alias("k"))
     nodes = materialise(nodes.withColumn("node", F.coalesce("least", -F.abs(F.shiftrightunsigned("k0", 1)) - 1)).withColumn("label", F.col("node")), "near-nodes")
     some = nodes.where("n > 0 and least is not null")
     total = some.count()
@@ -274,9 +277,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     levels = 0 if total <= BRUTE else max(1, math.ceil(math.log(total / 200_000) / math.log(1 / one)))
     found = materialise(candidates(some, levels, count, False), "near-candidates")
     pairs = found.where("d >= 0")
+    pairs = materialise(likely(pairs, some), "near-likely")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialise(shingle_sets(docs, ids).dropDuplicates(["node"]), "near-sets")
-    pairs = materialise(likely(pairs, sets), "near-likely")
     # each node's nearest and least partner first
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     first = each.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"), F.min("b").alias("y")).select("a", F.explode(F.array("x.b", "y")).alias("b"))
@@ -290,15 +293,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
         return known.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
     links = materialise(links.unionByName(verified(across(pairs.join(first, ["a", "b"], "left_anti"), label), sets, similarity)), "near-links")
-    if dense := [r.a for r in found.where("d < 0").select("a").distinct().limit(100_000).collect()]:
+    if not found.where("d < 0").isEmpty():
         # lists so full of near pairs that only nearest ones were given: now the pairs that join two classes
         label = components(links)
         named = some.drop("label").join(label.select("node", F.col("class").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
         only = found.where("d < 0").select(F.col("a").alias("list")).distinct()
-        more = materialise(candidates(named, levels, count, True, only).where("d >= 0").join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near-more")
+        more = candidates(named, levels, count, True, only).where("d >= 0").join(found.select("a", "b"), ["a", "b"], "left_anti")
+        more = materialise(likely(more.select("a", "b"), some), "near-more")
         ids = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        extra = materialise(shingle_sets(docs, ids).dropDuplicates(["node"]), "near-sets")
-        links = materialise(links.unionByName(verified(likely(more.select("a", "b"), extra), extra, similarity)), "near-links")
+        links = materialise(links.unionByName(verified(more, shingle_sets(docs, ids).dropDuplicates(["node"]), similarity)), "near-links")
     label = components(links)
     classed = nodes.select("k0", "k1", "node", "n").join(label, "node", "left").select("k0", "k1", F.coalesce("class", "node").alias("class_id"), F.col("node"))
     out = sig.join(classed, ["k0", "k1"])
