@@ -170,11 +170,27 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], ids
 
 
+def gathered(table: np.ndarray, index: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Per row r the sum of table[index[off[r]:off[r + 1]]]; rows of like length at once."""
+    n = np.diff(off)
+    out = np.zeros((len(n), table.shape[1]), table.dtype)
+    for c in np.unique(n[n > 0]).tolist():
+        r = np.flatnonzero(n == c)
+        if c > 32:
+            for q in r:
+                out[q] = table[index[off[q] : off[q + 1]]].sum(0)
+            continue
+        acc = table[index[off[r]]]
+        for j in range(1, c):
+            acc += table[index[off[r] + j]]
+        out[r] = acc
+    return out
+
+
 def project(off: np.ndarray, ids: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit TF-IDF rows times a basis; ``off`` bounds each row's (non-empty) ids."""
-    x = weight[ids]
-    scale = 1 / np.sqrt(np.add.reduceat(x * x, off[:-1]))
-    return np.add.reduceat(basis[ids] * x[:, None], off[:-1], axis=0) * scale[:, None]
+    scale = 1 / np.sqrt(np.add.reduceat(weight[ids] ** 2, off[:-1]))
+    return gathered(basis * weight[:, None], ids, off) * scale[:, None]
 
 
 def latent_space(rows: DataFrame, weight: np.ndarray, items: list[np.ndarray], rank: int = RANK) -> np.ndarray:
@@ -197,12 +213,12 @@ def latent_space(rows: DataFrame, weight: np.ndarray, items: list[np.ndarray], r
 
         def block(off: np.ndarray, ids: np.ndarray, total: np.ndarray) -> None:
             scaled, square = shared.value
-            y = np.add.reduceat(scaled[ids], off[:-1], axis=0) / np.add.reduceat(square[ids], off[:-1])[:, None]
+            y = gathered(scaled, ids, off) / np.add.reduceat(square[ids], off[:-1])[:, None]
             order = np.argsort(ids, kind="stable")
             word = ids[order]
             heads = np.flatnonzero(np.diff(word, prepend=-1))
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))[order]
-            total[word[heads]] += np.add.reduceat(y[row], heads, axis=0)
+            total[word[heads]] += gathered(y, row, np.append(heads, len(row)))
 
         def run(batches: Iterable[pa.RecordBatch]):
             total = np.zeros((size, k))
