@@ -10,8 +10,12 @@ item, or a good share of it and the item's answer (the content words of its last
 sentence) is there as well.
 
 A candidate must share ``SHARED`` content words (or all an item has) with its
-item to stand, so passages with fewer content words of the benchmark are left
-out of the sketch and the search; that loses nothing.
+item to stand, so passages with fewer are left out of the sketch and the search.
+An item of which less than ``PART`` of the words are content words (it is of
+common words, or was copied so often that its words became common) is searched
+by all its words instead: a copy that stands has at least ``needed`` of them in
+one passage, every such passage is a candidate whatever its cosine, and the
+common subsequence decides.
 
 Defined results: null and empty texts and items have no words and match nothing;
 an item is found in itself; repeated rows give one result; documents that match
@@ -21,6 +25,7 @@ ignored. Items are taken in blocks of ``ITEMS``, so what is broadcast is bounded
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -35,6 +40,7 @@ from .store import materialise
 PASSAGE, STRIDE = 48, 24
 CONTENT = 0.01  # a content word occurs in at most this share of passages
 SHARED = 4
+PART = 0.25  # of an item's words; with fewer content words all are searched
 RANK, OVER = 256, 16
 COSINE = 0.3
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
@@ -254,7 +260,19 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def judged(item: np.ndarray, answer: np.ndarray, content: np.ndarray, pos: np.ndarray, ids: np.ndarray, start: int) -> tuple[float, float] | None:
+def needed(item: np.ndarray) -> int:
+    """Distinct words of an item that a copy that stands has in one passage at least.
+
+    It lacks no more than ``1 - PARAPHRASE`` of the item, and its stretch touches so
+    many runs of ``PASSAGE`` words, each of which lies in one passage.
+    """
+    n = len(item)
+    has = len(np.unique(item)) - (n - math.ceil(PARAPHRASE * n))
+    runs = (n + max(8, n // 3) - 2) // PASSAGE + 2
+    return max(1, -(-has // runs))
+
+
+def judged(item: np.ndarray, answer: np.ndarray, content: np.ndarray, must: np.ndarray, pos: np.ndarray, ids: np.ndarray, start: int) -> tuple[float, float] | None:
     """(share of the item in order, share of its answer) around a passage, if it stands.
 
     All words are vocabulary numbers, the document's with their places: a word that
@@ -264,7 +282,6 @@ def judged(item: np.ndarray, answer: np.ndarray, content: np.ndarray, pos: np.nd
     lo, hi = max(0, start - n), start + PASSAGE + n
     a, b = np.searchsorted(pos, (lo, hi))
     pos, ids = pos[a:b], ids[a:b]
-    must = np.intersect1d(item, content)
     if not len(pos) or len(np.intersect1d(ids, must)) < min(SHARED, len(must)):
         return None
     best, reach = 0.0, n + max(8, n // 3)
@@ -287,24 +304,30 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
     if not total or df is None:
         return None
     most = max(CONTENT * total, 25.0)  # of a few passages, a word in 25 is still rare
-    weight = np.where((df > 0) & (df <= most), np.log(1 + total / np.maximum(df, 1)), 0.0)
     number = [items.lookup(x) for x in items.words]
-    own = [np.unique(x[weight[x] > 0]) if len(x) else x for x in number]
+    known_own = [np.unique(x[df[x] > 0]) if len(x) else x for x in number]
+    own = [x[df[x] <= most] for x in known_own]
+    scarce = [len(x) > 0 and np.sum(df[np.unique(x)] <= most) < max(SHARED, PART * len(np.unique(x))) for x in number]
+    own = [a if s else o for a, o, s in zip(known_own, own, scarce)]
     if not any(map(len, own)):
         return None
-    least = max(1, min(SHARED, min(len(x) for x in own if len(x))))
+    need = np.array([needed(x) if s else min(SHARED, len(o)) for x, o, s in zip(number, own, scarce)])
+    content = np.flatnonzero((df > 0) & (df <= most))
+    used = np.union1d(content, np.concatenate(own))
+    weight = np.zeros(len(df))
+    weight[used] = np.log(1 + total / df[used])
+    least = max(1, min(n for n, o in zip(need.tolist(), own) if len(o)))
     rows = materialise(passages(known, weight, least), "leak-passages")
     basis = latent_space(rows, weight, own)
     live = [k for k, x in enumerate(own) if len(x)]
     off = np.concatenate([[0], np.cumsum([len(own[k]) for k in live])])
     latent = project(off, np.concatenate([own[k] for k in live]), weight.astype(np.float32), basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    content = np.flatnonzero(weight > 0)
-    shared = sc.broadcast((weight.astype(np.float32), basis, latent.astype(np.float32), live, own, items, content))
+    shared = sc.broadcast((weight.astype(np.float32), basis, latent.astype(np.float32), live, own, need, np.array(scarce), items, content))
 
     def search(batches: Iterable[pa.RecordBatch]):
-        wt, bs, lt, live, own, *_ = shared.value
-        need = np.array([min(SHARED, len(own[k])) for k in live])
+        wt, bs, lt, live, own, need, scarce, *_ = shared.value
+        need, scarce = need[live], scarce[live]
         flat = np.concatenate([own[k] for k in live])
         by_word = np.argsort(flat, kind="stable")
         holder = np.repeat(np.arange(len(live)), [len(own[k]) for k in live])[by_word]
@@ -313,7 +336,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
             for s in range(0, b.num_rows, 5000):
                 off, ids = _rows(b.column(2).slice(s, 5000))
                 row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                # content words that a passage shares with each item; fewer than needed cannot stand
+                # words that a passage shares with each item; fewer than needed cannot stand
                 n = ptr[ids + 1] - ptr[ids]
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[ids], n)
                 pair, shares = np.unique(np.repeat(row, n) * len(live) + holder[at], return_counts=True)
@@ -325,7 +348,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
                 mine = np.isin(row, used)
                 y = project(np.concatenate([[0], np.cumsum(np.diff(off)[used])]), ids[mine], wt, bs)
                 cos = (y[back] * lt[c]).sum(1) / np.maximum(np.linalg.norm(y, axis=1), 1e-9)[back]
-                ok = cos >= COSINE
+                ok = (cos >= COSINE) | scarce[c]
                 r, c, cos = r[ok], c[ok], cos[ok]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 5000).take(pa.array(r)), b.column(1).slice(s, 5000).take(pa.array(r)), pa.array(np.array(live)[c].astype(np.int32)), pa.array(cos.astype(float))], ["doc_id", "start", "item", "cosine"])
 
@@ -333,7 +356,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
     per = near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "start", "cosine")).alias("c"))  # of one document each
 
     def decide(batches: Iterable[pa.RecordBatch]):
-        *_, x, content = shared.value
+        *_, own, _, scarce, x, content = shared.value
         item_words, answers = [x.lookup(v) for v in x.words], [x.lookup(v) for v in x.answers]
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
@@ -341,7 +364,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
                 pos, ids, best = np.frombuffer(raw_pos, np.uint32).astype(np.int64), np.frombuffer(raw_ids, np.uint32).astype(np.int32), {}
                 for c in ask:
                     i = c["item"]
-                    got = judged(item_words[i], answers[i], content, pos, ids, c["start"])
+                    got = judged(item_words[i], answers[i], content, own[i][:0] if scarce[i] else own[i], pos, ids, c["start"])
                     if got and (i not in best or got > best[i][:2]):
                         best[i] = (*got, c["start"], c["cosine"])
                 for i, (share, answer, start, cosine) in sorted(best.items()):

@@ -375,3 +375,14 @@ def test_leaks_and_paraphrases(spark):
         docs.append((k, " ".join(x)))
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_decontamination_finds_items_whose_words_became_common(spark):
+    rng = random.Random(31)
+    items = [(k, " ".join(words_of(rng, 34)) + ".") for k in range(6)]
+    docs = [(k, " ".join(words_of(rng, 60) + ([items[0][1]] if k % 3 == 0 else []) + words_of(rng, 40))) for k in range(120)]
+    part = items[0][1].split()
+    docs.append((120, " ".join(words_of(rng, 50) + part[3:] + words_of(rng, 50))))
+    docs.append((121, items[4][1]))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, 0) for k in range(0, 121, 3)} | {(120, 0), (121, 4)}
