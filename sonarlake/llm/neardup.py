@@ -4,7 +4,7 @@ Texts that are equal become one node. A node's 128-bit SimHash is taken over its
 distinct five-word shingles. A list keeps the fingerprints whose distance from a
 random mask on a random strip of coordinates is small; near pairs survive this
 together far more often than chance. Lists are drawn until the target recall at
-similarity 0.8 is reached; a list that is still long is filtered again on another
+similarity 0.8 is reached, over all distances that such pairs have; a list that is still long is filtered again on another
 strip, a short one is searched by brute force. Pairs within ``RADIUS`` are
 first compared by the least ``SKETCH`` shingle hashes of both, then verified by
 the exact Jaccard similarity of their shingle sets, each node's nearest partners
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ SIMILARITY = 0.8
 BITS = 128
 STRIP = 32
 WEIGHT = 9
-RADIUS = 30
+RADIUS = 36
 SKETCH = 64
 LIKELY = 0.6
 RECALL = 0.9995
@@ -122,6 +123,41 @@ def bit_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def met(distance: int) -> float:
+    """Chance that a pair whose fingerprints differ in so many bits passes a filter."""
+    total = 0.0
+    for m in range(max(0, STRIP - BITS + distance), min(distance, STRIP) + 1):
+        on_strip = math.comb(distance, m) * math.comb(BITS - distance, STRIP - m) / math.comb(BITS, STRIP)
+        both = sum(math.comb(m, i) * math.comb(STRIP - m, x) for i in range(m + 1) for x in range(STRIP - m + 1) if x + max(i, m - i) <= WEIGHT)
+        total += on_strip * both / 2**STRIP
+    return total
+
+
+def missed(p: float, count: int, levels: int) -> float:
+    """Share of pairs of bit difference p that are beyond RADIUS or meet in no list of the last level."""
+    share = 0.0
+    for d in range(BITS + 1):
+        lost = 1.0
+        if d <= RADIUS:
+            one, lost = met(d), 0.0
+            for _ in range(levels):
+                lost = (1 - one * (1 - lost)) ** count
+        share += math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) * lost
+    return share
+
+
+@lru_cache(maxsize=16)
+def lists_for(p: float, recall: float, levels: int) -> int:
+    """The least number of filters a level that misses no more than ``1 - recall``."""
+    if missed(p, 1 << 20, levels) > 1 - recall:
+        raise ValueError("no number of lists reaches that recall within RADIUS")
+    lo, hi = 0, 1 << 20
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if missed(p, mid, levels) > 1 - recall else (lo, mid)
+    return hi
+
+
 def filters(level: int, count: int) -> np.ndarray:
     """(count, 4): strip and mask words of a level, the same everywhere."""
     rng = np.random.default_rng(1000 + level)
@@ -272,8 +308,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     nodes = materialise(nodes.withColumn("node", F.coalesce("least", -F.abs(F.shiftrightunsigned("k0", 1)) - 1)).withColumn("label", F.col("node")), "near-nodes")
     some = nodes.where("n > 0 and least is not null")
     total = some.count()
-    one, both = survival(bit_difference(similarity))
-    count = math.ceil(math.log(1 / (1 - recall)) / both)
+    one, _ = survival(bit_difference(similarity))
+    depth = 1 + max(1, math.ceil(math.log(max(total, 1) / BRUTE) / math.log(1 / one)))  # one more for lists that are longer than most
+    count = lists_for(bit_difference(similarity), recall, depth)
     levels = 0 if total <= BRUTE else max(1, math.ceil(math.log(total / 200_000) / math.log(1 / one)))
     found = materialise(candidates(some, levels, count, False), "near-candidates")
     pairs = found.where("d >= 0")

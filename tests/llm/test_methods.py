@@ -386,3 +386,19 @@ def test_decontamination_finds_items_whose_words_became_common(spark):
     docs.append((121, items[4][1]))
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, 0) for k in range(0, 121, 3)} | {(120, 0), (121, 4)}
+
+
+def test_neardup_recall_counts_radius_and_all_distances(monkeypatch):
+    rng = np.random.default_rng(41)
+    p = neardup.bit_difference(0.8)
+    count = neardup.lists_for(p, neardup.RECALL, 2)
+    assert neardup.missed(p, count, 2) <= 1 - neardup.RECALL < neardup.missed(p, count - 1, 2)
+    n = 3000
+    base = rng.integers(0, 2**63, (n, 2), dtype=np.int64).view(np.uint64)
+    flips = np.packbits(rng.random((n, 128)) < p, axis=1).view(np.uint64)
+    f = np.concatenate([base, base ^ flips])
+    monkeypatch.setattr(neardup, "BRUTE", 200)
+    found = set()
+    for i, j, _, _ in neardup.search(f, np.full(len(f), 9), 0, count):
+        found |= set(zip(i.tolist(), j.tolist()))
+    assert sum((k, k + n) not in found for k in range(n)) <= 6  # 1.5 expected; 19 at radius 30
