@@ -9,7 +9,8 @@ ones become one node. The others meet by MinHash: bands and rows are tuned so
 that a pair at the threshold collides with the wanted chance, colliding ones are
 joined, and a join stands if the exact Jaccard similarity of the five-word
 shingles is high enough, or, for paragraphs with few shingles, if the words' edit
-distance is small. Nodes joined directly or through others are one class; all
+distance is small. Pairs of such short paragraphs, one word apart, are found by
+what is left of them without one word, exactly. Nodes joined directly or through others are one class; all
 but its first paragraph (by doc_id, then place) are removals.
 
 Defined results: a null or empty text has no paragraphs; a document repeating
@@ -87,9 +88,10 @@ class Paragraphs:
         self.a, self.b = cuts(t.h, t.at, np.searchsorted(t.start, np.flatnonzero(t.data == 10)))
         self.row = np.searchsorted(t.at, self.a, "right") - 1
         n = len(t.h)
-        sums = np.zeros(n + 1, np.uint64)
+        self.sums = sums = np.zeros(n + 1, np.uint64)
         np.cumsum(w.mix(t.h) * w._powers("p", w._P, n), out=sums[1:])
         self.key = w.mix((sums[self.b] - sums[self.a]) * w._powers("q", w._PINV, n)[self.a]) if n else np.zeros(0, np.uint64)
+        self.inverse = w._powers("q", w._PINV, n)
         g = np.zeros(n, np.uint64)
         for j in range(SHINGLE):
             g[: n - j] += t.h[j:] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) if n > j else 0
@@ -113,6 +115,18 @@ class Paragraphs:
         return out
 
 
+    def without_one(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(paragraph, place, hash) of distinct short paragraphs: whole (place -1) and without each of their words."""
+        short = np.flatnonzero(self.b - self.a <= FEW + SHINGLE)
+        short = short[np.unique(self.key[short], return_index=True)[1]]
+        n = self.b[short] - self.a[short]
+        row = np.repeat(short, n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b, at = self.a[row], self.b[row], self.a[row] + place
+        left = (self.sums[at] - self.sums[a]) * self.inverse[a] + (self.sums[b] - self.sums[at + 1]) * self.inverse[a + 1]
+        return np.concatenate([short, row]), np.concatenate([np.full(len(short), -1), place]), np.concatenate([self.key[short], w.mix(left)])
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -140,6 +154,29 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, start int, stop int, key long, " + ", ".join(f"m{k} long" for k in range(bands)) + ", x long")
 
 
+def one_apart(docs: DataFrame) -> DataFrame:
+    """(a, b) with a < b: every short paragraph one word away from others is joined to them.
+
+    Paragraphs that are equal without the word at one place are each within one
+    edit of the least of them, so a star joins them, however many they are; a
+    paragraph that equals a longer one without a word is joined to it.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            for _, texts in w.blocks(b.column(0)):
+                p = Paragraphs(texts)
+                if len(p.a):
+                    row, place, v = p.without_one()
+                    yield pa.RecordBatch.from_arrays([_long(p.key[row]), pa.array(place.astype(np.int32)), _long(v)], ["key", "place", "v"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, place int, v long").repartition("v")
+    whole = F.max(F.when(F.col("place") < 0, F.col("key"))).over(Window.partitionBy("v"))
+    least = F.min("key").over(Window.partitionBy("v", "place"))
+    near = rows.select("key", whole.alias("whole"), least.alias("least")).select("key", F.explode(F.array("whole", "least")).alias("other")).where("key <> other")
+    return near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def met_twice(paras: DataFrame, bands: int) -> DataFrame:
     """Paragraphs whose value in some band may occur twice; never without one that does.
 
@@ -270,10 +307,14 @@ def joined(pairs: DataFrame, parts: DataFrame, similarity: float = SIMILARITY) -
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, first_doc_id, class_id, start_word, end_word, removed, run_words) of repeated paragraphs."""
     bands, rows = tuned(similarity)
-    paras = materialise(met_twice(materialise(paragraphs(docs, bands, rows), "para-all"), bands), "para-some")
+    every = materialise(paragraphs(docs, bands, rows), "para-all")
+    apart = materialise(one_apart(docs), "para-apart")
+    ends = apart.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # those that also meet in a band come twice; grouping by key and the last distinct take them as one
+    paras = materialise(met_twice(every, bands).unionByName(every.join(ends, "key", "left_semi").select(*every.columns)), "para-some")
     place = F.struct(F.col("doc_id"), F.col("start"), F.col("stop"))
     nodes = materialise(paras.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in (*(f"m{k}" for k in range(bands)), "x"))), "para-nodes")
-    pairs = materialise(colliding(nodes.drop("first", "last"), bands), "para-pairs")
+    pairs = materialise(colliding(nodes.drop("first", "last"), bands).unionByName(apart).distinct(), "para-pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     named = nodes.join(keys, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"))
     parts = materialise(contents(docs, named).dropDuplicates(["key"]), "para-contents")

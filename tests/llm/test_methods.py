@@ -402,3 +402,27 @@ def test_neardup_recall_counts_radius_and_all_distances(monkeypatch):
     for i, j, _, _ in neardup.search(f, np.full(len(f), 9), 0, count):
         found |= set(zip(i.tolist(), j.tolist()))
     assert sum((k, k + n) not in found for k in range(n)) <= 6  # 1.5 expected; 19 at radius 30
+
+
+def test_short_paragraphs_one_word_apart_are_all_found(spark):
+    rng = random.Random(51)
+    docs, n = [], 60
+    for k in range(n):
+        x = [words_of(rng, rng.randint(8, 14)) for _ in range(2)]
+        docs.append((2 * k, "\n".join(" ".join(p) for p in x)))
+        y = [p[:] for p in x]
+        for p in y:
+            at = rng.randrange(len(p))
+            p[at : at + 1] = words_of(rng, rng.choice([0, 1, 1, 2]))
+        docs.append((2 * k + 1, "\n".join(" ".join(p) for p in y)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)  # cuts look past the ends of a block's texts
+    found = {(r.a, r.b) for r in substrings.one_apart(df).collect()}
+    keyed, want = {}, set()
+    p = substrings.Paragraphs(w.strings(pa.array([text for _, text in docs])))
+    for key, a, b in zip(p.key.view(np.int64).tolist(), p.a, p.b):
+        keyed[key] = p.t.h[a:b].tolist()
+    for a in keyed:
+        want |= {(a, b) for b in keyed if a < b and min(len(keyed[a]), len(keyed[b])) <= 16 and substrings._edits(keyed[a], keyed[b], 1)}
+    assert len(want) > 40 and found == want
+    got = {(r.doc_id, r.start_word) for r in substrings.repeated_paragraphs(df).collect() if r.removed}
+    assert got  # the pairs reach the result
