@@ -31,29 +31,45 @@ RAW = frozenset("script style noscript template title textarea iframe xmp noembe
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
-_NAME = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PART = re.compile(r"[a-z]+")
 CUES = ("comment", "reply", "respond", "disqus", "ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "footer", "foot", "header", "masthead", "cookie", "consent", "notice", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "related", "recommended", "share", "social", "search", "login", "toolbar", "pagination", "pager", "tags", "legal", "copyright", "content", "article", "post", "entry", "story", "body", "main", "text")
 _CUES = {c: c for c in CUES} | {c + "s": c for c in CUES if not c.endswith("s")}
 TAGS = frozenset("nav header footer aside main article section form ul ol li table td th tr dl dd dt p h1 h2 h3 h4 h5 h6 blockquote pre div figure figcaption button select option label address details summary dialog menu center".split())
 
 
-@lru_cache(maxsize=4096)
 def _own(tag: str, attrs: str) -> frozenset[str]:
     """Features that an element gives to all blocks below it."""
+    return _cached(tag, attrs) if len(attrs) <= 400 else _features(tag, attrs)  # long ones would fill the cache
+
+
+def _features(tag: str, attrs: str) -> frozenset[str]:
     f = set()
     if tag in TAGS:
         f.add("in:" + tag)
-    names = " ".join("".join(m.groups("")) for m in _NAME.finditer(attrs)) if "=" in attrs else ""
-    for part in _PART.findall(names.lower()):
+    names = []
+    seen = set()
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in seen:  # of attributes of one name the first counts
+            continue
+        seen.add(name)
+        if "&" in value:
+            value = entities.unescape(value)
+        if name in ("class", "id", "role"):
+            names.append(value)
+        elif name == "hidden" or (name == "style" and _NONE.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            f.add("hidden")
+    for part in _PART.findall(" ".join(names).lower()):
         if part in _CUES:
             f.add("cue:" + _CUES[part])
-    if attrs and _HIDDEN.search(attrs):
-        f.add("hidden")
     return frozenset(f)
 
 
+_cached = lru_cache(maxsize=4096)(_features)
+
+
 class Block:
     __slots__ = ("links", "nearest", "text", "up")
 
@@ -133,7 +149,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 pop_to(k)
         if tag in VOID or m[3].endswith("/"):
             continue
-        own = _own(tag, m[3][:400])
+        own = _own(tag, m[3])
         top = stack[-1][1]
         stack.append((tag, top if own <= top else top | own))
         open_[tag] = open_.get(tag, 0) + 1

@@ -426,3 +426,14 @@ def test_short_paragraphs_one_word_apart_are_all_found(spark):
     assert len(want) > 40 and found == want
     got = {(r.doc_id, r.start_word) for r in substrings.repeated_paragraphs(df).collect() if r.removed}
     assert got  # the pairs reach the result
+
+
+def test_html_attributes_are_read_by_name_and_whole():
+    shown = ['style="overflow:hidden"', 'class="overflow-hidden"', 'data-x="display:none"', "title='aria-hidden=\"true\"'", 'aria-hidden="false"', 'data-hidden="1"']
+    away = ["hidden", "HIDDEN=''", 'style="color:red; display : none"', 'aria-hidden="true"', "aria-hidden=true", f'data-x="{"y" * 500}" hidden', f'style="{"a:b;" * 200}display:none"']
+    for attrs in shown:
+        assert [b.text for b in html.leaf_blocks(f"<div {attrs}><p>Words.</p></div>")] == ["Words."], attrs
+    for attrs in away:
+        assert not html.leaf_blocks(f"<div {attrs}><p>Words.</p></div>"), attrs
+    (b,) = html.leaf_blocks(f'<div data-x="{"y" * 500}" class="comments"><p>Words.</p></div>')
+    assert "cue:comment" in b.up
