@@ -86,9 +86,12 @@ def _shape(s: str) -> tuple:
     return digits, alpha, len(s)
 
 
-@lru_cache(maxsize=50_000)
 def span_features(words: tuple[str, ...], before: str) -> tuple[str, ...]:
     """Features of a candidate segment as a whole."""
+    return _cached(words, before) if max(map(len, (*words, before))) <= WIDEST else _features(words, before)  # long words would fill memory
+
+
+def _features(words: tuple[str, ...], before: str) -> tuple[str, ...]:
     s = " ".join(words)
     core = s.strip(".,;:!?\"'()<>")
     digits, alpha, n = _shape(core)
@@ -106,7 +109,9 @@ def span_features(words: tuple[str, ...], before: str) -> tuple[str, ...]:
         f += ["spelt", "spelt" + str(len(words))]
     if re.search(r"(?:passw(?:or)?d|token|secret|api_?key|pwd)\W*[=:]", low):
         f.append("assign")
-        if re.search(r"[=:]\W*\w{6,}$", low):
+        value = low[len(low) - len(re.match(r"\w*", low[::-1])[0]) :]
+        marks = re.match(r"\W*", low[: len(low) - len(value)][::-1])[0]
+        if len(value) >= 6 and ("=" in marks or ":" in marks):
             f.append("assigned")
     if re.fullmatch(r"[A-Z0-9]{16,}", core) and digits and alpha:
         f.append("keyid")
@@ -124,9 +129,13 @@ def span_features(words: tuple[str, ...], before: str) -> tuple[str, ...]:
     return tuple(f)
 
 
+_cached = lru_cache(maxsize=50_000)(_features)
+
+
 def _eligible(words: tuple[str, ...]) -> bool:
     s = " ".join(words)
-    return len(s) <= WIDEST and ("@" in s or "=" in s or any(c.isdigit() for c in s) or " dot " in s or "(at)" in s)
+    size = len(s) - sum(len(x) - 1 for x in words if len(x) > WIDEST)  # a long word counts as one character
+    return size <= WIDEST and ("@" in s or "=" in s or any(c.isdigit() for c in s) or " dot " in s or "(at)" in s)
 
 
 class SemiMarkov:
@@ -278,12 +287,13 @@ def trained() -> SemiMarkov:
 
 
 _WORD = re.compile(r"\S+")
+_HOT = re.compile(r"[0-9@=]|\(at\)")
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkov) -> list[tuple[int, int, int]]:
     """What the field finds apart from base spans."""
     toks = [m.span() for m in _WORD.finditer(text)]
-    hot = [k for k, (s, e) in enumerate(toks) if e - s <= WIDEST and (any(c in "0123456789@=" for c in text[s:e]) or text[s:e] in ("dot", "(at)") or "(at)" in text[s:e])]
+    hot = [k for k, (s, e) in enumerate(toks) if _HOT.search(text, s, e) or text[s:e] == "dot"]
     out, taken, i = [], sorted((s, e) for _, s, e in base), 0
     while i < len(hot):
         j = i
@@ -291,7 +301,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkov)
             j += 1
         lo, hi = max(0, hot[i] - 4), min(len(toks), hot[j] + 5)
         part = toks[lo:hi]
-        for t, a, b in field.decode([text[s:e] if e - s <= WIDEST else "x" * (WIDEST + 1) for s, e in part]):
+        for t, a, b in field.decode([text[s:e] for s, e in part]):
             s, e = part[a][0], part[b - 1][1]
             while s < e and text[s] in "\"'(<[,;":
                 s += 1
@@ -327,7 +337,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 text = ""
                 if hits[edge[k + 1]] > hits[edge[k]]:
                     text = column[k].as_py()
-                elif (s := column[k].as_py()) and " dot " in s:
+                elif (s := column[k].as_py()) and ("(at)" in s or "dot" in s):  # all that may hold a hot word
                     text = s
                 if not text:
                     rows.append((0, 0, 0, 0, none, "", 0))

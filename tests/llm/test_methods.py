@@ -437,3 +437,17 @@ def test_html_attributes_are_read_by_name_and_whole():
         assert not html.leaf_blocks(f"<div {attrs}><p>Words.</p></div>"), attrs
     (b,) = html.leaf_blocks(f'<div data-x="{"y" * 500}" class="comments"><p>Words.</p></div>')
     assert "cue:comment" in b.up
+
+
+def test_pii_looks_at_texts_without_digits_and_at_long_words(spark):
+    rng = random.Random(61)
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(300))
+    part = lambda n: "".join(rng.choice("ABCDEFabcdefghijk0123456789_-") for _ in range(n))
+    jwt = f"eyJ{part(40)}.eyJ{part(120)}.{part(42)}z"
+    texts = ["lomi ana(at)mail.net tera", "lomi ana at\nmail\tdot\ncom tera", f"lomi api_key={hexes} tera", f"lomi token={jwt} tera", f'lomi token = "{hexes}" tera']
+    want = ["ana(at)mail.net", "ana at\nmail\tdot\ncom", f"api_key={hexes}", f"token={jwt}", f'token = "{hexes}']
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        text = texts[r.doc_id]
+        spans = [text[int(s) : int(e)] for _, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == [want[r.doc_id]], r.doc_id
