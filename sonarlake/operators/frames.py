@@ -93,7 +93,7 @@ def similarity_pairs(frames: DataFrame) -> DataFrame:
     s = scalars(frames)
     a = frames.select("key", "i", F.col("x").alias("xi"))
     b = frames.select("key", F.col("i").alias("j"), F.col("x").alias("xj"))
-    pairs = a.join(b, "key").where("i < j").join(F.broadcast(s.limit(100_000)), "key")
+    pairs = a.join(b, "key").where("i < j").join(s, "key")
     return pairs.select("key", "i", "j", weighted(F.col("xi"), F.col("xj")).alias("s"))
 
 

@@ -226,3 +226,9 @@ def test_to_int16(spark, value, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(signal.to_int16(F.lit(value))).first()[0] == want
+
+
+def test_similarity_pairs_of_many_recordings(spark):
+    many = 100_050
+    frames = spark.range(2 * many).selectExpr("cast(id div 2 as string) as key", "id % 2 as i", "cast(id % 2 + 1 as double) as x")
+    assert fr.similarity_pairs(frames).count() == many
