@@ -244,13 +244,13 @@ def render_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sound_features")
 def sound_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectral features of the default sequence in every voice."""
-    return sounds.library(spark, 2.0, 8000)
+    return sounds.library(spark)
 
 
 @query("sound_distances")
 def sound_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of the voices by their mean coefficients."""
-    lib = sounds.library(spark, 2.0, 8000).select("key", F.col("mfcc_means").alias("mean"))
+    lib = sounds.library(spark).select("key", F.col("mfcc_means").alias("mean"))
     return vec.all_pairs(lib).select("a", "b", F.round("d", 6).alias("d"))
 
 

@@ -232,3 +232,15 @@ def test_similarity_pairs_of_many_recordings(spark):
     many = 100_050
     frames = spark.range(2 * many).selectExpr("cast(id div 2 as string) as key", "id % 2 as i", "cast(id % 2 + 1 as double) as x")
     assert fr.similarity_pairs(frames).count() == many
+
+
+def test_sound_queries_hold_the_whole_sequence(spark, monkeypatch):
+    from sonarlake.plans import waves
+
+    asked = []
+    monkeypatch.setattr(sounds, "library", lambda s, seconds=5.0, rate=44100: asked.append((seconds, rate)) or spark.createDataFrame([("1", [0.0])], "key string, mfcc_means array<double>"))
+    waves.sound_features(spark, "")
+    waves.sound_distances(spark, "")
+    for seconds, rate in asked:
+        assert notes.pairs(notes.events(spark), seconds, rate).count() == 4
+    assert len(asked) == 2
