@@ -3,26 +3,36 @@
 Texts that are equal become one node. A node's 128-bit SimHash is taken over its
 distinct five-word shingles. A list keeps the fingerprints whose distance from a
 random mask on a random strip of coordinates is small; near pairs survive this
-together far more often than chance. Lists are drawn until the target recall at
-similarity 0.8 is reached, over all distances that such pairs have; a list that is still long is filtered again on another
-strip, a short one is searched by brute force. Pairs within ``RADIUS`` are
-first compared by the least ``SKETCH`` shingle hashes of both, then verified by
-the exact Jaccard similarity of their shingle sets, each node's nearest partners
-first, then whatever still joins two classes; so copies within
-a class need not be paired with each other. Classes are connected components.
+together far more often than chance. A round filters all nodes into lists, each
+list again into shorter ones, and so on, as deep as the number of nodes asks for;
+the last lists are searched by brute force. Rounds are repeated until the target
+recall at similarity 0.8 is reached over all distances that such pairs have. The
+first levels are shuffled, the last is worked off inside a list's task; a list of
+more than ``SPLIT`` rows is cut into blocks, each pair of which is a task.
+
+Pairs are sought twice. A few lists first give each node's nearest partners;
+those whose exact Jaccard similarity is high enough make draft classes. Then
+every list gives all its close pairs of unlike classes, none left out, so a
+crowd of near copies is not paired with itself but no link between classes is
+lost. They are compared by the least ``SKETCH`` shingle hashes, then exactly.
+Texts of at most ``SHORT`` shingles, whose fingerprints vary most, are also found
+exactly, by equality of their sets but for one shingle. Classes are components.
 
 Defined results: a null text counts as empty; equal texts (empty ones too) are
 of one class; a text of fewer than five words is one shingle of all its words; a
-text without words is near nothing but its equals; rows that share an id are one
-document; a null id is kept and classed by its text; extra columns are ignored.
+text without words is near nothing but its equals; of a class the row of least
+(doc_id, text hash) is kept, null ids last; rows that repeat an id and its text
+are one document; rows of one id with other texts are classed by their texts;
+``class_id`` is the least id of the class (a negative hash if none has one);
+extra columns are ignored. Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .graph import components
-from .store import materialise
+from .store import discard, fold_bits, materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,10 +51,12 @@ STRIP = 32
 WEIGHT = 9
 RADIUS = 36
 SKETCH = 64
-LIKELY = 0.6
+LIKELY = 0.55
 RECALL = 0.9995
-BRUTE = 4096
-NEAREST = 12
+LEAF = 4096
+SPLIT = 400_000
+NEAREST = 3
+SHORT = 9
 
 _SPREAD = np.zeros(256, np.uint64)  # bit k of a byte in byte k
 for _k in range(8):
@@ -82,28 +94,58 @@ def simhash(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, k0, k1, n, f0, f1, k): digest of the text, number of shingles, SimHash, and the high halves of the least shingle hashes."""
+    """(doc_id, node, n, f0, f1, k, x) of every row.
+
+    The text's hash, its number of shingles, SimHash, the high halves of its least
+    shingle hashes, and of a short text the hashes of its set, whole and without
+    each of its shingles.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            keys, n, f = np.zeros((b.num_rows, 2), np.int64), np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, 2), np.uint64)
+            n, f = np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, 2), np.uint64)
             least: list[np.ndarray] = []
-            for at, texts in w.blocks(b.column(1)):
-                off, raw = w.buffers(texts)
-                data = memoryview(raw)
-                for k in range(len(texts)):
-                    keys[at + k] = np.frombuffer(hashlib.md5(data[off[k] : off[k + 1]], usedforsecurity=False).digest(), np.int64)
+            short: list[np.ndarray] = []
+            for at, texts in w.blocks(b.column(2)):
                 sets = list(shingles(texts))
                 n[at : at + len(texts)] = [len(s) for s in sets]
                 f[at : at + len(texts)] = simhash(sets)
                 least += [(s[:SKETCH].view(np.int64) >> 32).astype(np.int32) for s in sets]
+                short += [without_one(s) for s in sets]
             f = f.view(np.int64)
-            cut = np.concatenate([[0], np.cumsum([len(s) for s in least])]).astype(np.int32)
-            sketch = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(least) if least else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (keys[:, 0].copy(), keys[:, 1].copy(), n, f[:, 0].copy(), f[:, 1].copy())), sketch], ["doc_id", "k0", "k1", "n", "f0", "f1", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (n, f[:, 0].copy(), f[:, 1].copy())), _lists(least, np.int32), _lists(short, np.int64)], ["doc_id", "node", "n", "f0", "f1", "k", "x"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    return cols.mapInArrow(run, "doc_id long, node long, n int, f0 long, f1 long, k array<int>, x array<long>")
+
+
+def without_one(s: np.ndarray) -> np.ndarray:
+    """Hashes of a set of at most SHORT shingles: whole, then without each one; none of a larger set."""
+    if not 0 < len(s) <= SHORT:
+        return np.zeros(0, np.int64)
+    each = w.mix(s)
+    return w.mix(np.append(np.uint64(0), each) * np.uint64(2**64 - 1) + each.sum(dtype=np.uint64)).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
+
+
+def short_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) with a < b that join all short texts whose similarity is at least 0.8.
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, k0 long, k1 long, n int, f0 long, f1 long, k array<int>")
+    Two sets whose union has at most ten shingles differ in one (each of them: if
+    both have nine) at that similarity. Those that are another without one shingle
+    are joined to the least that is it, and sets of nine with eight in common to
+    the least of them, so work is by texts and never by pairs.
+    """
+    every = nodes.where(F.size("x") > 0).select("node", "n", F.posexplode("x").alias("i", "v")).where("i = 0 or n >= 5")
+    whole, nine = F.col("i") == 0, (F.col("i") > 0) & (F.col("n") == SHORT)
+    heads = every.groupBy("v").agg(F.min(F.when(whole, F.col("node"))).alias("whole"), F.min(F.when(nine, F.col("node"))).alias("nine"), F.count("*").alias("c")).where("c > 1").drop("c")
+    near = every.join(heads, "v").select("node", F.explode(F.array("whole", F.when(nine, F.col("nine")))).alias("other")).where("node <> other")
+    return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def survival(p: float, strip: int = STRIP, weight: int = WEIGHT) -> tuple[float, float]:
@@ -123,6 +165,7 @@ def bit_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+@lru_cache(maxsize=256)
 def met(distance: int) -> float:
     """Chance that a pair whose fingerprints differ in so many bits passes a filter."""
     total = 0.0
@@ -133,34 +176,72 @@ def met(distance: int) -> float:
     return total
 
 
-def missed(p: float, count: int, levels: int) -> float:
-    """Share of pairs of bit difference p that are beyond RADIUS or meet in no list of the last level."""
+class Plan(NamedTuple):
+    """``rounds`` of ``depth`` levels of ``count`` filters, of which ``spread`` are shuffled."""
+
+    depth: int
+    spread: int
+    count: int
+    rounds: int
+
+
+def missed(p: float, count: int, depth: int, rounds: int) -> float:
+    """Share of pairs of bit difference p that are beyond RADIUS or meet in no list of the last level.
+
+    Every list is filtered by masks of its own.
+    """
     share = 0.0
     for d in range(BITS + 1):
         lost = 1.0
         if d <= RADIUS:
             one, lost = met(d), 0.0
-            for _ in range(levels):
+            for _ in range(depth):
                 lost = (1 - one * (1 - lost)) ** count
+            lost **= rounds
         share += math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) * lost
     return share
 
 
-@lru_cache(maxsize=16)
-def lists_for(p: float, recall: float, levels: int) -> int:
-    """The least number of filters a level that misses no more than ``1 - recall``."""
-    if missed(p, 1 << 20, levels) > 1 - recall:
-        raise ValueError("no number of lists reaches that recall within RADIUS")
-    lo, hi = 0, 1 << 20
+def _least(good, hi: int) -> int:
+    lo = 0
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if missed(p, mid, levels) > 1 - recall else (lo, mid)
+        lo, hi = (lo, mid) if good(mid) else (mid, hi)
     return hi
 
 
-def filters(level: int, count: int) -> np.ndarray:
-    """(count, 4): strip and mask words of a level, the same everywhere."""
-    rng = np.random.default_rng(1000 + level)
+@lru_cache(maxsize=64)
+def depth_for(total: int, one: float) -> int:
+    """Levels after which a list of ``total`` nodes is expected to have LEAF members at most."""
+    return max(1, math.ceil(math.log(max(total, 1) / LEAF) / math.log(1 / one)))
+
+
+@lru_cache(maxsize=64)
+def planned(p: float, recall: float, depth: int) -> Plan:
+    """The plan of that depth with fewest shuffled rows that misses no more than ``1 - recall``.
+
+    One level is one round of as many lists as are needed. With more, many rounds
+    of few filters a level cost far less than one round of many.
+    """
+    if missed(p, 1 << 20, 1, 1) > 1 - recall:
+        raise ValueError("no number of lists reaches that recall within RADIUS")
+    one, both = survival(p)
+    if depth == 1:
+        return Plan(1, 1, _least(lambda c: missed(p, c, 1, 1) <= 1 - recall, 1 << 20), 1)
+    best = None
+    for share in (0.75, 1.0, 1.25, 1.5, 2.0, 3.0):
+        count = max(2, round(share / both))
+        rounds = _least(lambda r: missed(p, count, depth, r) <= 1 - recall, 1 << 16)  # noqa: B023
+        rows = rounds * (count * one) ** (depth - 1)
+        if best is None or rows < best[0]:
+            best = (rows, Plan(depth, depth - 1, count, rounds))
+    return best[1]
+
+
+@lru_cache(maxsize=512)
+def filters(turn: int, level: int, count: int) -> np.ndarray:
+    """(count, 4): strip and mask words of a round's level, the same everywhere."""
+    rng = np.random.default_rng(1000 + level + 64 * turn)
     out = np.zeros((count, 4), np.uint64)
     for k in range(count):
         for bit in rng.choice(BITS, STRIP, replace=False):
@@ -169,121 +250,151 @@ def filters(level: int, count: int) -> np.ndarray:
     return out
 
 
-def passing(f: np.ndarray, rule: np.ndarray) -> np.ndarray:
+def shifts(at: int) -> np.ndarray:
+    """What the masks are changed by in a list, so that one list's luck isn't another's."""
+    return w.mix(np.array([2 * at + 1, 2 * at + 2], np.uint64))
+
+
+def passing(f: np.ndarray, rule: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """Rows of f whose weight on the rule's strip, from its mask, is small."""
-    near = np.bitwise_count((f[:, 0] & rule[0]) ^ rule[2]) + np.bitwise_count((f[:, 1] & rule[1]) ^ rule[3])
+    mask = rule[2:] ^ (shift & rule[:2])
+    near = np.bitwise_count((f[:, 0] & rule[0]) ^ mask[0]) + np.bitwise_count((f[:, 1] & rule[1]) ^ mask[1])
     return np.flatnonzero(near <= WEIGHT)
 
 
-def close_pairs(f: np.ndarray, n: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(i, j, distance) within RADIUS and of like size, and whether only nearest were kept.
+def close_pairs(f: np.ndarray, n: np.ndarray, label: np.ndarray | None, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (i, j, distance) with i < j, within RADIUS and of like size.
 
-    With labels, all pairs of unlike labels; else, where there are many, each
-    row's nearest ones (the rest is asked for with labels, later).
+    With labels, which must be in order, all pairs of unlike labels: a stretch of
+    one label is not compared with itself. Without, each row's NEAREST later
+    partners. With parts, only pairs of unlike parts.
     """
-    lo, hi, dist, dense = [], [], [], False
     for s in range(0, len(f), 256):
         e = min(s + 256, len(f))
-        d = np.bitwise_count(f[s:e, None, 0] ^ f[None, s:, 0]) + np.bitwise_count(f[s:e, None, 1] ^ f[None, s:, 1])
-        i, j = np.nonzero(d <= RADIUS)
-        keep = j > i
-        i, j = i[keep], j[keep]
-        v = d[i, j]
-        a, b = n[i + s], n[j + s]
-        keep = np.minimum(a, b) >= SIMILARITY * np.maximum(a, b)
-        if label is not None:
-            keep &= label[i + s] != label[j + s]
-        i, j, v = i[keep] + s, j[keep] + s, v[keep]
-        if label is None and len(i) > 64 * (e - s):
-            dense = True
-            order = np.lexsort((v, i))
-            i, j, v = i[order], j[order], v[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            near = rank < NEAREST
-            i, j, v = i[near], j[near], v[near]
-        lo.append(i)
-        hi.append(j)
-        dist.append(v)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return cat(lo), cat(hi), cat(dist), dense
-
-
-def search(f: np.ndarray, n: np.ndarray, level: int, count: int, label: np.ndarray | None = None):
-    """Close pairs of a list: filtered on further strips while it is long."""
-    if len(f) <= BRUTE or level > 5:
-        yield close_pairs(f, n, label)
+        lo, hi, dist = [], [], []
+        first = s
+        if label is not None and label[s] == label[e - 1]:
+            first = int(np.searchsorted(label, label[s], "right"))  # nothing before it is of another label and later
+        for c in range(first, len(f), 8192):
+            d = np.bitwise_count(f[s:e, None, 0] ^ f[None, c : c + 8192, 0])
+            d += np.bitwise_count(f[s:e, None, 1] ^ f[None, c : c + 8192, 1])
+            i, j = np.nonzero(d <= RADIUS)
+            v = d[i, j]
+            i, j = i + s, j + c
+            keep = (j > i) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
+            if label is not None:
+                keep &= label[i] != label[j]
+            if part is not None:
+                keep &= part[i] != part[j]
+            i, j, v = i[keep], j[keep], v[keep]
+            if label is None and len(i):
+                order = np.lexsort((j, v, i))
+                i, j, v = i[order], j[order], v[order]
+                near = np.arange(len(i)) - np.searchsorted(i, i) < NEAREST
+                i, j, v = i[near], j[near], v[near]
+            lo.append(i)
+            hi.append(j)
+            dist.append(v)
+        if lo and sum(map(len, lo)):
+            i, j, v = map(np.concatenate, (lo, hi, dist))
+            if label is None:
+                order = np.lexsort((j, v, i))
+                i, j, v = i[order], j[order], v[order]
+                near = np.arange(len(i)) - np.searchsorted(i, i) < NEAREST
+                i, j, v = i[near], j[near], v[near]
+            yield i, j, v
+
+
+def search(f: np.ndarray, n: np.ndarray, at: int, turn: int, level: int, plan: Plan, label: np.ndarray | None, part: np.ndarray | None):
+    """Close pairs of list ``at``: filtered by the levels that are left, then by brute force."""
+    if level >= plan.depth:
+        yield from close_pairs(f, n, label, part)
         return
-    for rule in filters(level, count):
-        rows = passing(f, rule)
+    shift = shifts(at)
+    for k, rule in enumerate(filters(turn, level, plan.count)):
+        rows = passing(f, rule, shift)
         if len(rows) > 1:
-            for i, j, v, dense in search(f[rows], n[rows], level + 1, count, None if label is None else label[rows]):
-                yield rows[i], rows[j], v, dense
+            for i, j, v in search(f[rows], n[rows], at * plan.count + k, turn, level + 1, plan, None if label is None else label[rows], None if part is None else part[rows]):
+                yield rows[i], rows[j], v
 
 
-def lists(nodes: DataFrame, levels: int, count: int) -> DataFrame:
-    """(list, node, n, f0, f1, label): each node in the lists of the first levels that it passes."""
-    if not levels:
-        return nodes.withColumn("list", F.lit(0).cast("long"))
+def lists(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(list, node, n, f0, f1, label): each node in the lists of the shuffled levels that it passes, in all rounds."""
     names = ["list", "node", "n", "f0", "f1", "label"]
 
     def run(batches: Iterable[pa.RecordBatch]):
-        rules = [filters(k, count) for k in range(levels)]
-        step = 10_000 // 20 ** (levels - 1) + 100
-        for b in (whole.slice(k, step) for whole in batches for k in range(0, whole.num_rows, step)):
+        for b in (whole.slice(k, 10_000) for whole in batches for k in range(0, whole.num_rows, 10_000)):
             f = np.stack([b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (2, 3)], axis=1)
-            parts = [(0, np.arange(len(f)))]
-            for level in rules:
-                parts = [(at * count + k, rows[hit]) for at, rows in parts for k, rule in enumerate(level) if len(hit := passing(f[rows], rule))]
-            if parts:
-                rows = pa.array(np.concatenate([r for _, r in parts]))
-                at = np.repeat([p for p, _ in parts], [len(r) for _, r in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pc.take(b.column(k), rows) for k in range(5))], names)
+            for turn in range(plan.rounds):
+                parts = [(turn, np.arange(len(f)))]
+                for level in range(plan.spread):
+                    rules = filters(turn, level, plan.count)
+                    parts = [(at * plan.count + k, rows[hit]) for at, rows in parts for k, rule in enumerate(rules) if len(hit := passing(f[rows], rule, shifts(at)))]
+                if parts:
+                    rows = pa.array(np.concatenate([r for _, r in parts]))
+                    at = np.repeat([p for p, _ in parts], [len(r) for _, r in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pc.take(b.column(k), rows) for k in range(5))], names)
 
     return nodes.select("node", "n", "f0", "f1", "label").mapInArrow(run, "list long, node long, n int, f0 long, f1 long, label long")
 
 
-def candidates(nodes: DataFrame, levels: int, count: int, labelled: bool, only: DataFrame | None = None) -> DataFrame:
-    """(a, b, d): close pairs with a < b; rows with d = -1 name lists (a) of which only nearest were given."""
+def crowded(nodes: DataFrame, plan: Plan, split: int = SPLIT) -> dict[int, int]:
+    """Blocks by list, of the lists of more than ``split`` rows; there are no more than rows / ``split`` of these."""
+    sizes = lists(nodes, plan).groupBy("list").count().where(F.col("count") > split)
+    return {r["list"]: -(-r["count"] // split) for r in sizes.toLocalIterator()}
 
-    def run(t: pa.Table) -> pa.Table:
-        node, n = t["node"].to_numpy(), t["n"].to_numpy()
-        order = np.argsort(node, kind="stable")
-        node, n = node[order], n[order]
+
+def candidates(nodes: DataFrame, plan: Plan, labelled: bool, split: int = SPLIT) -> DataFrame:
+    """(a, b, d): close pairs with a < b; of unlike labels, or each node's nearest ones in every list."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        at, i, j = (x.as_py() for x in key)
+        node, n, label = (t[c].to_numpy() for c in ("node", "n", "label"))
+        order = np.lexsort((node, label))
+        node, n, label = node[order], n[order], label[order]
         f = np.stack([t[c].to_numpy()[order].view(np.uint64) for c in ("f0", "f1")], axis=1)
-        label = t["label"].to_numpy()[order] if labelled else None
-        a, b, d, marked = [], [], [], False
-        for i, j, v, dense in search(f, n, levels, count, label):
-            a.append(node[i])
-            b.append(node[j])
+        part = t["part"].to_numpy()[order] if i != j else None
+        a, b, d = [], [], []
+        for x, y, v in search(f, n, at, at // plan.count**plan.spread, plan.spread, plan, label if labelled else None, part):
+            x, y = node[x], node[y]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
             d.append(v.astype(np.int32))
-            marked |= dense
-        if marked:
-            a.append(np.array([t["list"][0].as_py()]))
-            b.append(np.array([0]))
-            d.append(np.array([-1], np.int32))
         cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "d": cat(d, np.int32)})
 
-    members = lists(nodes, levels, count)
-    if only is not None:
-        members = members.join(only, "list", "left_semi")
-    return members.groupBy("list").applyInArrow(run, "a long, b long, d int").distinct()
+    members = lists(nodes, plan).withColumn("part", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    many = crowded(nodes, plan, split) if nodes.count() > split else {}  # no list is longer than the table
+    if many:
+        cut = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("list")], F.lit(1))
+        members = members.withColumn("part", F.pmod(F.xxhash64("node"), cut).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), (cut - 1).cast("int"))))
+        members = members.withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o")).drop("o")
+    return members.groupBy("list", "i", "j").applyInArrow(run, "a long, b long, d int").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, s) of the documents named in ``ids`` (node)."""
+    """(node, s): the shingle sets of the nodes named in ``ids`` (node, least), each from its row of least id.
+
+    Texts are not shuffled: rows are picked by a bitmap of the wanted ones of
+    bounded size. The few others that it lets pass are of no node that is asked for.
+    """
+    bits = fold_bits(ids.select(F.xxhash64("least", "node").alias("h")))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            for at, texts in w.blocks(b.column(1)):
-                sets = list(shingles(texts))
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["node", "s"])
+            hit = shared.value.has(b.column(0).to_numpy())
+            if not hit.any():
+                continue
+            b = b.filter(pa.array(hit))
+            new = np.unique(b.column(1).to_numpy(), return_index=True)[1]
+            b = b.take(pa.array(new))
+            for at, texts in w.blocks(b.column(2)):
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, len(texts)), _lists([s.view(np.int64) for s in shingles(texts)], np.int64)], ["node", "s"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    # hashed at every size: the ids grow with the input, so they aren't broadcast
-    return cols.join(ids.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node long, s array<long>")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    return cols.select(F.xxhash64("doc_id", "node").alias("h"), "node", "text").mapInArrow(run, "node long, s array<long>")
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, at_least: float = LIKELY) -> DataFrame:
@@ -301,48 +412,49 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_shingles, is_kept): one row per document."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int | None = None) -> DataFrame:
+    """(doc_id, node, class_id, n_shingles, is_kept): one row per document; ``node`` is the text's hash."""
     sig = materialise(signatures(docs), "near-signatures")
-    nodes = sig.groupBy("k0", "k1").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("k").alias("k"))
-    nodes = materialise(nodes.withColumn("node", F.coalesce("least", -F.abs(F.shiftrightunsigned("k0", 1)) - 1)).withColumn("label", F.col("node")), "near-nodes")
-    some = nodes.where("n > 0 and least is not null")
-    total = some.count()
-    one, _ = survival(bit_difference(similarity))
-    depth = 1 + max(1, math.ceil(math.log(max(total, 1) / BRUTE) / math.log(1 / one)))  # one more for lists that are longer than most
-    count = lists_for(bit_difference(similarity), recall, depth)
-    levels = 0 if total <= BRUTE else max(1, math.ceil(math.log(total / 200_000) / math.log(1 / one)))
-    found = materialise(candidates(some, levels, count, False), "near-candidates")
-    pairs = found.where("d >= 0")
-    pairs = materialise(likely(pairs, some), "near-likely")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(shingle_sets(docs, ids).dropDuplicates(["node"]), "near-sets")
-    # each node's nearest and least partner first
-    each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    first = each.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"), F.min("b").alias("y")).select("a", F.explode(F.array("x.b", "y")).alias("b"))
-    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialise(verified(first, sets, similarity), "near-links")
+    nodes = materialise(sig.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "f0", "f1", "k", "x"))), "near-nodes")
+    some = nodes.where("n > 0")
+    p = bit_difference(similarity)
+    depth = depth_for(some.count(), survival(p)[0]) if leaf is None else leaf
+    plan = planned(p, recall, depth)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = materialise(shingle_sets(docs, nodes.select("node", "least").join(ids, "node", "left_semi")), "near-sets")
+        found = materialise(verified(pairs, sets, similarity), "near-true")
+        discard(sets, pairs)
+        return found
+
+    # a few lists, each node's nearest partners: draft classes
+    few = plan._replace(rounds=1) if plan.rounds > 1 else plan._replace(count=-(-plan.count // 8))
+    draft = materialise(candidates(some.withColumn("label", F.col("node")), few, False), "near-draft")
+    links = checked(materialise(likely(draft, some), "near-likely"))
+    if similarity <= 0.8:
+        links = links.unionByName(short_links(some))
+    links = materialise(links.distinct(), "near-links")
     label = components(links)
-
-    def across(rest: DataFrame, label: DataFrame) -> DataFrame:
-        la, lb = (label.select(F.col("node").alias(c), F.col("class").alias("l" + c)) for c in "ab")
-        known = rest.join(la, "a", "left").join(lb, "b", "left")
-        return known.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    links = materialise(links.unionByName(verified(across(pairs.join(first, ["a", "b"], "left_anti"), label), sets, similarity)), "near-links")
-    if not found.where("d < 0").isEmpty():
-        # lists so full of near pairs that only nearest ones were given: now the pairs that join two classes
-        label = components(links)
-        named = some.drop("label").join(label.select("node", F.col("class").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        only = found.where("d < 0").select(F.col("a").alias("list")).distinct()
-        more = candidates(named, levels, count, True, only).where("d >= 0").join(found.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialise(likely(more.select("a", "b"), some), "near-more")
-        ids = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        links = materialise(links.unionByName(verified(more, shingle_sets(docs, ids).dropDuplicates(["node"]), similarity)), "near-links")
+    # all lists, all pairs of unlike classes
+    named = some.join(label.select("node", F.col("class").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(named.select("node", "n", "f0", "f1", "label"), "near-named")
+    rest = materialise(candidates(named, plan, True).join(draft.select("a", "b"), ["a", "b"], "left_anti"), "near-candidates")
+    links = materialise(links.unionByName(checked(materialise(likely(rest, some), "near-likely"))), "near-links")
     label = components(links)
-    classed = nodes.select("k0", "k1", "node", "n").join(label, "node", "left").select("k0", "k1", F.coalesce("class", "node").alias("class_id"), F.col("node"))
-    out = sig.join(classed, ["k0", "k1"])
-    return out.select("doc_id", "class_id", F.col("n").cast("long").alias("n_shingles"), (F.coalesce("doc_id", "class_id") == F.col("class_id")).alias("is_kept"))
+    last = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node").alias("node"))
+    known = nodes.select("node", "least").join(label, "node", "left")
+    heads = known.where("class is not null").groupBy("class").agg(F.min(last).alias("head"))
+    known = known.join(heads, "class", "left").select("node", F.coalesce("head", last).alias("head"))
+    out = sig.select("doc_id", "node", "n").join(known, "node")
+    name = F.coalesce("head.doc_id", -F.abs(F.shiftrightunsigned("head.node", 1)) - 1)
+    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))
+    return out.select("doc_id", "node", name.alias("class_id"), F.col("n").cast("long").alias("n_shingles"), kept.alias("is_kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_shingles, is_kept): one row per document."""
+    return classes(docs, similarity, recall).drop("node")
 
 
 def op9_may_ozerov_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

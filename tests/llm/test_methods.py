@@ -261,32 +261,74 @@ def test_neardup_against_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in got} == plain_classes(docs)
 
 
-def test_recursion_reaches_its_recall(monkeypatch):
-    rng = np.random.default_rng(8)
-    base = rng.integers(0, 2**63, (1500, 2), dtype=np.int64).view(np.uint64)
-    flips = np.zeros((1500, 2), np.uint64)
-    for k in range(1500):
-        for bit in rng.choice(128, 19, replace=False):
-            flips[k, bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
-    f = np.concatenate([base, base ^ flips])
-    monkeypatch.setattr(neardup, "BRUTE", 200)
-    one, both = neardup.survival(19 / 128)
-    count = int(np.ceil(np.log(1 / 0.03) / both))
-    found = set()
-    for i, j, _, _ in neardup.search(f, np.full(len(f), 9), 0, count):
-        found |= set(zip(i.tolist(), j.tolist()))
-    assert sum((k, k + 1500) in found for k in range(1500)) >= 0.9 * 1500
+def near_fingerprints(seed, n, p):
+    """n fingerprints, then n others of which each bit differs from the first ones with chance p."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, (n, 2), dtype=np.int64).view(np.uint64)
+    return np.concatenate([base, base ^ np.packbits(rng.random((n, 128)) < p, axis=1).view(np.uint64)])
+
+
+def as_nodes(spark, f, label=None):
+    rows = [(k, 9, int(x[0]), int(x[1]), int(k if label is None else label[k])) for k, x in enumerate(f.view(np.int64))]
+    return spark.createDataFrame(rows, "node long, n int, f0 long, f1 long, label long").repartition(4)
+
+
+def exact_close(f, label=None):
+    out = set()
+    for s in range(0, len(f), 500):
+        d = np.bitwise_count(f[s : s + 500, None, 0] ^ f[None, :, 0]).astype(int) + np.bitwise_count(f[s : s + 500, None, 1] ^ f[None, :, 1])
+        out |= {(int(i) + s, int(j)) for i, j in zip(*np.nonzero(d <= neardup.RADIUS)) if i + s < j and (label is None or label[i + s] != label[j])}
+    return out
+
+
+def test_ten_thousand_nodes_through_two_levels(spark):
+    """Lists shuffled at the first level and worked off at the second: the pairs of an exact search, but for the planned misses."""
+    p, n = neardup.bit_difference(0.8), 5000
+    f = near_fingerprints(17, n, p)
+    plan = neardup.planned(p, 0.98, 2)
+    assert plan.depth == 2 and plan.spread == 1 and plan.rounds > 1
+    got = {(r.a, r.b) for r in neardup.candidates(as_nodes(spark, f), plan, True).collect()}
+    want = exact_close(f)
+    assert got <= want and len(want) >= n - 10
+    assert sum((k, k + n) not in got for k in range(n)) <= 0.025 * n
+
 
+def test_a_list_beyond_the_split_gives_the_same_pairs(spark):
+    f = near_fingerprints(5, 300, 0.1)
+    plan = neardup.planned(neardup.bit_difference(0.8), 0.9995, 1)
+    nodes = as_nodes(spark, f, np.arange(600) % 300 // 2)
+    whole = {(r.a, r.b) for r in neardup.candidates(nodes, plan, True).collect()}
+    assert max(neardup.crowded(nodes, plan, 5).values()) > 1
+    assert {(r.a, r.b) for r in neardup.candidates(nodes, plan, True, 5).collect()} == whole
 
-def test_crowded_list_is_whole(spark, monkeypatch):
-    """More near pairs than are given at once: the rest comes by labels."""
-    monkeypatch.setattr(neardup, "NEAREST", 1)
-    f = np.zeros((200, 2), np.uint64)
-    i, j, _, dense = neardup.close_pairs(f, np.full(200, 5))
-    assert dense and len(i) < 200 * 199 / 2
-    label = np.repeat([0, 1], 100)
-    i, j, _, _ = neardup.close_pairs(f, np.full(200, 5), label)
-    assert len(i) == 100 * 100
+
+def test_labels_leave_out_no_pair_of_unlike_ones():
+    rng = np.random.default_rng(2)
+    f = np.zeros((1500, 2), np.uint64)
+    f[:, 0] = rng.integers(0, 4, 1500, dtype=np.uint64)
+    label = np.sort(rng.integers(0, 3, 1500))
+    got = {(int(i), int(j)) for x, y, _ in neardup.close_pairs(f, np.full(1500, 5), label) for i, j in zip(x, y)}
+    assert got == exact_close(f, label)
+    few = sum(len(x) for x, _, _ in neardup.close_pairs(f, np.full(1500, 5), None))
+    assert few <= neardup.NEAREST * 1500
+
+
+def test_short_texts_one_shingle_apart_are_all_found(spark):
+    rng = random.Random(6)
+    docs = []
+    for k in range(0, 400, 4):
+        a = words_of(rng, rng.randint(9, 13))
+        docs += [(k, " ".join(a)), (k + 1, " ".join(a[:-1])), (k + 2, " ".join(["neu", *a])), (k + 3, " ".join(words_of(rng, 9)))]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == plain_classes(docs)
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(3)
+    a, b = " ".join(words_of(rng, 40)), " ".join(words_of(rng, 40))
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, b), (None, a), (2, b)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 7 and {(r.doc_id, r.class_id, r.is_kept) for r in got} == {(1, 1, True), (2, 1, False), (2, 2, True), (None, 2, False), (None, 1, False)}
 
 
 def test_components(spark):
@@ -388,18 +430,17 @@ def test_decontamination_finds_items_whose_words_became_common(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, 0) for k in range(0, 121, 3)} | {(120, 0), (121, 4)}
 
 
-def test_neardup_recall_counts_radius_and_all_distances(monkeypatch):
-    rng = np.random.default_rng(41)
+def test_neardup_recall_counts_radius_and_all_distances():
     p = neardup.bit_difference(0.8)
-    count = neardup.lists_for(p, neardup.RECALL, 2)
-    assert neardup.missed(p, count, 2) <= 1 - neardup.RECALL < neardup.missed(p, count - 1, 2)
+    plan = neardup.planned(p, neardup.RECALL, 1)
+    assert neardup.missed(p, plan.count, 1, 1) <= 1 - neardup.RECALL < neardup.missed(p, plan.count - 1, 1, 1)
+    for depth in (2, 3):
+        deep = neardup.planned(p, neardup.RECALL, depth)
+        assert neardup.missed(p, deep.count, depth, deep.rounds) <= 1 - neardup.RECALL < neardup.missed(p, deep.count, depth, deep.rounds - 1)
     n = 3000
-    base = rng.integers(0, 2**63, (n, 2), dtype=np.int64).view(np.uint64)
-    flips = np.packbits(rng.random((n, 128)) < p, axis=1).view(np.uint64)
-    f = np.concatenate([base, base ^ flips])
-    monkeypatch.setattr(neardup, "BRUTE", 200)
+    f = near_fingerprints(41, n, p)
     found = set()
-    for i, j, _, _ in neardup.search(f, np.full(len(f), 9), 0, count):
+    for i, j, _ in neardup.search(f, np.full(len(f), 9), 0, 0, 0, plan, np.arange(len(f)), None):
         found |= set(zip(i.tolist(), j.tolist()))
     assert sum((k, k + n) not in found for k in range(n)) <= 6  # 1.5 expected; 19 at radius 30
 
