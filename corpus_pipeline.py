@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sonarlake.llm.decontaminate import leaks
 from sonarlake.llm.lines import line_dedup
-from sonarlake.llm.neardup import near_duplicates
+from sonarlake.llm.neardup import classes
 from sonarlake.llm.packing import pack_documents
 from sonarlake.llm.store import fresh, materialise, release, scoped
 from sonarlake.llm.toxicity import labelled_sample, train, without_toxic
@@ -48,31 +48,36 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one of least id."""
+    """One document of each near-duplicate class stays, the one of least id; rows that repeat an id and a text count once.
+
+    Null ids come last in a class, and rows of one id with other texts are judged by their texts.
+    """
     release(spark, "pipeline")
     with scoped("pipeline"):
-        out = _without(docs, near_duplicates(docs).where("not is_kept"), "near-gone")
-        return out if docs.isEmpty() else _once(docs, out)
-
-
-def _once(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """``out`` with rows that repeat an id and a text reduced to one; asks for a shuffle only if ids repeat."""
-    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return out
-    h = fresh("_text_hash", docs.columns)
-    return out.withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h]).drop(h)
+        found = materialise(classes(docs).select("doc_id", "node", "is_kept"), "near-found")
+        per = found.groupBy("doc_id").agg(F.bool_or("is_kept").alias("some"), F.bool_and("is_kept").alias("all"), F.count("*").alias("c"))
+        out = _without(docs, per.where("not some"), "near-gone")
+        # ids of which one text stays and another goes (no id at all is one of these): by id and text
+        odd = per.where("not all and (some or doc_id is null)").select("doc_id")
+        if not odd.isEmpty():
+            i, h = fresh("_odd_id", docs.columns), fresh("_odd_text", docs.columns)
+            gone = found.join(odd.withColumnRenamed("doc_id", "odd"), F.col("doc_id").eqNullSafe(F.col("odd"))).where("not is_kept").select(F.col("doc_id").alias(i), F.col("node").alias(h)).distinct()
+            out = out.join(gone, out["doc_id"].eqNullSafe(gone[i]) & (F.xxhash64(F.coalesce(out["text"].cast("string"), F.lit(""))) == gone[h]), "left_anti")
+        if per.where("c > 1").isEmpty():
+            return out
+        t = fresh("_text_hash", docs.columns)
+        return out.withColumn(t, F.xxhash64("text")).dropDuplicates(["doc_id", t]).drop(t)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    """Documents that hold a benchmark item, or a paraphrase of one, go; null and empty texts stay, and so does a row without an id."""
     release(spark, "pipeline")
     with scoped("pipeline"):
         return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leak-gone")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of what is left."""
+    """Sequences of what is left; a null or empty text is a closing id, and repeated rows are packed as often as they come."""
     release(spark, "pipeline")
     with scoped("pipeline"):
         return pack_documents(docs)
