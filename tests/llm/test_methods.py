@@ -147,12 +147,11 @@ def test_token_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ref.encode_special_tokens = True
     ids = packing.IdBytes()
     rng = random.Random(4)
     texts = [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall()]
     texts += ["".join(rng.choice("ab é  \n\t'sx1,.漢 ") for _ in range(rng.randint(0, 25))) for _ in range(800)]
-    texts += ["<|endoftext|> a", " lead", "trail ", "a\n b", "a \nb", "don't we'll"]
+    texts += ["<|endoftext|> a", "x <|endoftext|><|endoftext|>  y", "<|endoftext", " lead", "trail ", "a\n b", "a \nb", "don't we'll"]
     for t in texts:
         assert np.frombuffer(ids(t), np.uint32).tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -163,7 +162,6 @@ def test_packing_is_tight_and_true(spark):
 
     out = packing.op6_gga_packing(spark, SF).toPandas()
     ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ref.encode_special_tokens = True
     want = []
     for doc_id, text in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall():
         ids = [*ref.encode(text or "", add_special_tokens=False).ids, 2]
@@ -184,6 +182,21 @@ def test_evolution_never_loses_a_piece():
     assert max(second) <= max(first)
 
 
+def test_evolution_beats_its_seed_on_hard_lists():
+    """Lists of two to six pieces a bin, where best-fit decreasing leaves bins to save."""
+    better, saved = 0, 0
+    for k in range(30):
+        sizes = np.random.default_rng(k).integers(150, 500, 120).tolist()
+        seed: list[list[int]] = []
+        packing.best_fit(np.argsort(-np.asarray(sizes), kind="stable").tolist(), sizes, seed, [], 1000)
+        first = packing.evolve(sizes, 1000, k)
+        last = packing.evolve(sizes, 1000, k + 99, first)
+        assert max(last) <= max(first) < len(seed) + 1
+        better += max(last) + 1 < len(seed)
+        saved += len(seed) - max(last) - 1
+    assert better >= 15 and saved >= 15
+
+
 def test_line_dedup_against_sql(spark):
     from oracle import compare
 
