@@ -2,19 +2,21 @@
 
 A window is the shortest run of lines from a line on that has ``LINES`` lines or
 ``WORDS`` space-separated words. Of each window the least line hash (the last
-such line) is its fingerprint: equal windows choose equal fingerprints at equal
-places, so a repeated run as long as a window always shares one. Fingerprints
-are counted over all documents; where one occurs at two places or more, the
-windows that hold it are compared by a digest of their text, which extends the
-match from the fingerprint to its lines on both sides, and overlapping windows
-join to runs. Every window but the first of its text (by doc_id, then line) is
-deleted, so of each repeated run the first copy stays.
+such line) is selected as a fingerprint: equal windows select equal fingerprints
+at equal places, so a repeated run as long as a window always shares one. Windows
+that follow each other mostly select the same line; each selected place is taken
+once. Selected places are joined by their hash; around those met at two places or
+more the match is extended to both sides, to all windows that selected the place
+and, window by window, on to the ends of the run; a window is compared by a digest
+of its lines with the first that has it, so there are no pairs of places. Every
+window but the first of its text (by doc_id, then line) is deleted, so of each
+repeated run the first copy stays.
 
 Defined results: a null text has no lines and stays null; a document shorter
 than a window is left alone; rows that repeat an id and its text are one
 document; a document that repeats itself loses its later runs; a document of
-which nothing is left has an empty text. Extra columns stay with
-``line_dedup(..., keep=...)``.
+which nothing is left has an empty text; of documents without an id those of
+equal texts are one. Extra columns stay with ``line_dedup(..., keep=...)``.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ WORDS = 40
 
 
 def windows(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
-    """(doc_id, th, p, q, f, w): windows from line p to q with fingerprint line f's hash and the text's digest."""
+    """(doc_id, th, p, q, i, f, w, head): windows from line p to q, selected line i and its hash, the text's digest.
+
+    ``head`` marks the first window that selects a place.
+    """
     text = F.col("text")
     line = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("s"), F.xxhash64(x).alias("h"), (1 + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).alias("n")))
 
@@ -39,8 +44,12 @@ def windows(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFram
         for k in range(lines):
             run = at[: k + 1]
             joined = F.concat_ws("\n", *(v["s"] for v in run))
-            f = F.least(*(v["h"] for v in run)) if k else run[0]["h"]
-            whole = F.struct(p.alias("p"), (p + k).alias("q"), f.alias("f"), F.unhex(F.md5(joined)).alias("w"))
+            # the least hash, of equal ones the last
+            i, f = p, run[0]["h"]
+            for j in range(1, k + 1):
+                less = run[j]["h"] <= f
+                i, f = F.when(less, p + j).otherwise(i), F.least(f, run[j]["h"])
+            whole = F.struct(p.alias("p"), (p + k).alias("q"), i.cast("int").alias("i"), f.alias("f"), F.unhex(F.md5(joined)).alias("w"))
             rows.append((sum((v["n"] for v in run), F.lit(0)) >= words, F.when(run[-1].isNotNull(), whole)))
         out = rows[-1][1]
         for enough, whole in reversed(rows[:-1]):
@@ -51,15 +60,19 @@ def windows(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFram
         ahead = F.arrays_zip(*(F.slice(v, k + 1, F.size(v)).alias(f"l{k}") for k in range(lines)))
         return F.filter(F.transform(ahead, window), lambda x: x.isNotNull())
 
-    bound = F.get(F.transform(F.array(line), of), F.lit(0))
+    def marked(v: Column) -> Column:
+        return F.transform(v, lambda x, k: F.struct(*(x[c].alias(c) for c in "pqifw"), (~F.coalesce(F.get(v, k - 1)["i"] == x["i"], F.lit(False))).alias("head")))
+
+    bound = F.get(F.transform(F.transform(F.array(line), of), marked), F.lit(0))
     return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.inline(bound))
 
 
 def repeated(wins: DataFrame) -> DataFrame:
     """(doc_id, th, gone): the lines to delete in each document that has any; ``wins`` is stored."""
+    at = F.struct("doc_id", "th", "i")
+    shared = wins.where("head").groupBy("f").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("f")
+    near = wins.select("doc_id", "th", "p", "q", "f", "w").join(shared, "f", "left_semi")
     place = F.struct("doc_id", "th", "p")
-    shared = wins.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("f")
-    near = wins.join(shared, "f", "left_semi")
     first = near.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w", "a")
     later = near.join(first, "w").where(F.struct("doc_id", "th", "p") > F.col("a"))
     return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(p, q)")))).alias("gone"))

@@ -223,6 +223,27 @@ def test_line_dedup_by_hand(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_winnowing_selects_few_places_and_loses_no_repeat(spark):
+    """Each window selects the last of its least line hashes; windows that are equal select equal places; the rest of the lines is not looked at."""
+    rng = random.Random(16)
+    docs = [(k, "\n".join(" ".join(words_of(rng, 4)) for _ in range(60))) for k in range(12)]
+    part = docs[3][1].split("\n")[20:29]
+    docs.append((50, "\n".join(["one more line here", *part, "and a last one"])))
+    wins = lines.windows(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "transform(split(text, '\\n', -1), x -> xxhash64(x)) as h").collect()}
+    for r in wins:
+        h = hashes[r.doc_id][r.p : r.q + 1]
+        assert r.f == min(h) and r.i == r.p + max(k for k, x in enumerate(h) if x == min(h))
+    chosen = {(r.doc_id, r.i) for r in wins}
+    assert sum(r["head"] for r in wins) == len(chosen) < 0.6 * sum(t.count("\n") + 1 for _, t in docs)
+    where = {}
+    for r in wins:
+        where.setdefault(r.w, set()).add((r.f, r.i - r.p))
+    assert all(len(x) == 1 for x in where.values())
+    gone = lines.repeated(spark.createDataFrame(wins, "doc_id long, th long, p int, q int, i int, f long, w binary, head boolean")).collect()
+    assert [(r.doc_id, sorted(r.gone)) for r in gone] == [(50, list(range(1, 10)))]
+
+
 def test_langid_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.predict(docs, langid.train(langid.sample(docs))).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
