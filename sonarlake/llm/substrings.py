@@ -6,16 +6,21 @@ but for its two ends. Paragraphs of at least ``LEAST`` words count, and a
 repeat is reported if it and the repeats that adjoin it (but for less than a
 paragraph between) have ``RUN`` words. Equal
 ones become one node. The others meet by MinHash: bands and rows are tuned so
-that a pair at the threshold collides with the wanted chance, colliding ones are
-joined, and a join stands if the exact Jaccard similarity of the five-word
-shingles is high enough, or, for paragraphs with few shingles, if the words' edit
-distance is small. Pairs of such short paragraphs, one word apart, are found by
-what is left of them without one word, exactly. Nodes joined directly or through others are one class; all
-but its first paragraph (by doc_id, then place) are removals.
+that a pair at the threshold collides with the wanted chance and others seldom,
+and a join stands if the exact Jaccard similarity of the five-word shingles is
+high enough, or, for paragraphs with few shingles, if the words' edit distance is
+small. Each node of a bucket is first held against the bucket's least one; then
+all pairs of a bucket whose classes are still unlike, in blocks, so that neither
+a crowd of copies is paired with itself nor a pair of a crowd left out. Pairs of
+short paragraphs one word apart are found exactly, by what is left of them without
+one word; only those are looked at of which half the words begin or end another. Nodes joined directly or through others are one class; all but its
+first paragraph (by doc_id, then text and place; null ids last) are removals.
 
 Defined results: a null or empty text has no paragraphs; a document repeating
-itself is a repeat; rows that share an id and a text are one document; documents
-without a repeated paragraph give no row; extra columns are ignored.
+itself is a repeat; rows that share an id and a text are one document, and so are
+rows without an id that share a text; documents without a repeated paragraph give
+no row; equal least hashes are equal shingles, so ties change nothing; texts of
+any length are cut as a whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,31 +36,26 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .graph import components
-from .store import materialise
+from .store import Bits, discard, fold_bits, materialise
 
 REACH = 5
 LEAST = 6
 RUN = 16
 SHINGLE = 5
 SIMILARITY = 0.8
-COLLIDE = 0.95
+COLLIDE = 0.98
 FEW = 12
 EDITS = 0.1
-CROWD = 64
-MOST_BITS = 1 << 28
+BLOCK = 64
 
 
-def tuned(similarity: float = SIMILARITY, collide: float = COLLIDE, most: int = 12) -> tuple[int, int]:
-    """(bands, rows): fewest hashes that make a pair at the threshold collide so often."""
-    best = None
-    for rows in range(1, 5):
+def tuned(similarity: float = SIMILARITY, collide: float = COLLIDE, most: int = 4) -> tuple[int, int]:
+    """(bands, rows): of at most ``most`` bands the strictest that make a pair at the threshold collide so often."""
+    for rows in range(8, 0, -1):
         for bands in range(1, most + 1):
             if 1 - (1 - similarity**rows) ** bands >= collide:
-                best = min(best or (99, 0, 0), (bands * rows, bands, rows))
-                break
-    if not best:
-        raise ValueError("no banding reaches that recall")
-    return best[1], best[2]
+                return bands, rows
+    raise ValueError("no banding reaches that recall")
 
 
 def cuts(h: np.ndarray, at: np.ndarray, lines: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
@@ -106,24 +106,41 @@ class Paragraphs:
         bounds = np.stack([self.a, self.last], axis=1).ravel()
         return np.minimum.reduceat(np.append(x, np.uint64(2**64 - 1)), bounds)[::2]
 
-
-    def rest(self) -> np.ndarray:
-        """Four more MinHashes of 16 bits, side by side."""
-        out = np.zeros(len(self.a), np.uint64)
-        for k in range(4):
-            out |= (self.minhash(104_729 + 7919 * k) & np.uint64(0xFFFF)) << np.uint64(16 * k)
-        return out
-
-
-    def without_one(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(paragraph, place, hash) of distinct short paragraphs: whole (place -1) and without each of their words."""
-        short = np.flatnonzero(self.b - self.a <= FEW + SHINGLE)
+    def hashed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words from a to b."""
+        return (self.sums[b] - self.sums[a]) * self.inverse[a]
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, length, is it the end) of three parts of each paragraph; hash 0 if it isn't short.
+
+        Of two paragraphs one word apart (another word, or one more) either the
+        first half of the shorter begins the other, or its second half ends it;
+        the third part is the shorter's, if this is the longer one.
+        """
+        n = self.b - self.a
+        half = n // 2
+        size = np.stack([half, n - half, np.where(n % 2, half, half - 1)], axis=1)
+        end = np.stack([np.zeros(len(n), bool), np.ones(len(n), bool), n % 2 > 0], axis=1)
+        lo = np.where(end, self.b[:, None] - size, self.a[:, None])
+        h = w.mix(self.hashed(lo, lo + size) + end.astype(np.uint64)) | np.uint64(1)
+        h[n > FEW + SHINGLE] = 0
+        return h, size, end
+
+    def without_one(self, halves: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(paragraph, place, hash) of distinct short paragraphs with a known half: whole (place -1) and without each word beside that half."""
+        h, size, end = self.halves()
+        known = (h != 0) & halves.has(h.ravel().view(np.int64)).reshape(h.shape)
+        short = np.flatnonzero(known.any(1))
         short = short[np.unique(self.key[short], return_index=True)[1]]
         n = self.b[short] - self.a[short]
-        row = np.repeat(short, n)
+        known, size, end = known[short], size[short], end[short]
+        lo = np.where(known & ~end, size, 1 << 30).min(1, initial=1 << 30)  # beyond a known beginning
+        hi = n - np.where(known & end, size, 1 << 30).min(1, initial=1 << 30)  # before a known end
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        open_ = (place >= np.repeat(lo, n)) | (place < np.repeat(hi, n))
+        row, place = np.repeat(short, n)[open_], place[open_]
         a, b, at = self.a[row], self.b[row], self.a[row] + place
-        left = (self.sums[at] - self.sums[a]) * self.inverse[a] + (self.sums[b] - self.sums[at + 1]) * self.inverse[a + 1]
+        left = self.hashed(a, at) + (self.sums[b] - self.sums[at + 1]) * self.inverse[a + 1]
         return np.concatenate([short, row]), np.concatenate([np.full(len(short), -1), place]), np.concatenate([self.key[short], w.mix(left)])
 
 
@@ -131,12 +148,19 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text); ``row`` stands for an id and a text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return cols.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), "text")
+
+
 def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, start, stop, key, m0.., x): places in words, digest, bands, further MinHashes."""
+    """(doc_id, row, start, stop, key, m0.., h0..): places in words, digest, bands, three parts of short ones (else 0)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            for at, texts in w.blocks(b.column(1)):
+            for at, texts in w.blocks(b.column(2)):
                 p = Paragraphs(texts)
                 if not len(p.a):
                     continue
@@ -147,14 +171,23 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     for r in range(rows):
                         v = w.mix(v * np.uint64(0x9E3779B97F4A7C15) + p.minhash(7919 * (k * rows + r + 1)))
                     band.append(v)
-                ids = b.column(0).slice(at, len(texts)).take(pa.array(p.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((p.a - base).astype(np.int32)), pa.array((p.b - base).astype(np.int32)), _long(p.key), *map(_long, band), _long(p.rest())], ["doc_id", "start", "stop", "key", *(f"m{k}" for k in range(bands)), "x"])
+                ids = [b.column(k).slice(at, len(texts)).take(pa.array(p.row)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array((p.a - base).astype(np.int32)), pa.array((p.b - base).astype(np.int32)), _long(p.key), *map(_long, (*band, *p.halves()[0].T))], names)
+
+    names = ["doc_id", "row", "start", "stop", "key", *(f"m{k}" for k in range(bands)), "h0", "h1", "h2"]
+    return _source(docs).mapInArrow(run, "doc_id long, row long, start int, stop int, " + ", ".join(f"{x} long" for x in names[4:]))
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, start int, stop int, key long, " + ", ".join(f"m{k} long" for k in range(bands)) + ", x long")
 
+def shared_halves(paras: DataFrame) -> Bits:
+    """The parts (h0..) that unlike paragraphs have in common, as a bitmap."""
+    h = paras.select(F.explode(F.array("h0", "h1", "h2")).alias("h"), F.col("key").bitwiseAND(0x7FFFFFFF).cast("int").alias("k")).where("h <> 0")
+    twice = materialise(h.groupBy("h").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("h"), "para-halves")
+    bits = fold_bits(twice)
+    discard(twice)
+    return bits
 
-def one_apart(docs: DataFrame) -> DataFrame:
+
+def one_apart(docs: DataFrame, halves: Bits) -> DataFrame:
     """(a, b) with a < b: every short paragraph one word away from others is joined to them.
 
     Paragraphs that are equal without the word at one place are each within one
@@ -162,12 +195,14 @@ def one_apart(docs: DataFrame) -> DataFrame:
     paragraph that equals a longer one without a word is joined to it.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
+
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             for _, texts in w.blocks(b.column(0)):
                 p = Paragraphs(texts)
                 if len(p.a):
-                    row, place, v = p.without_one()
+                    row, place, v = p.without_one(shared.value)
                     yield pa.RecordBatch.from_arrays([_long(p.key[row]), pa.array(place.astype(np.int32)), _long(v)], ["key", "place", "v"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, place int, v long").repartition("v")
@@ -177,98 +212,81 @@ def one_apart(docs: DataFrame) -> DataFrame:
     return near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
-def met_twice(paras: DataFrame, bands: int) -> DataFrame:
-    """Paragraphs whose value in some band may occur twice; never without one that does.
+def met_twice(paras: DataFrame, bands: int, keys: DataFrame) -> DataFrame:
+    """Paragraphs whose value in some band may occur twice, or that ``keys`` (h) may name; never without one that does.
 
-    Values (of 40 bits) are counted over all paragraphs; those met twice are set in
-    a bitmap of about ten bits each, of ``MOST_BITS`` (32 MB) at most. It only
-    spares later steps the lone paragraphs: where it fills up, more of them pass.
+    Values are counted over all paragraphs; those met twice are set in a bitmap of
+    bounded size. It only spares later steps the lone paragraphs: where it fills up,
+    more of them pass.
     """
-    values = paras.select(F.explode(F.array(*(F.col(f"m{k}") for k in range(bands)))).alias("v"))
-    twice = materialise(values.select(F.shiftrightunsigned("v", 24).alias("v")).groupBy("v").count().where("count > 1").select("v"), "para-twice")
-    size = 1 << 16
-    while size < min(MOST_BITS, 10 * twice.count()):
-        size *= 2
-
-    def places(v: np.ndarray) -> list[np.ndarray]:
-        x = w.mix(v.view(np.uint64))
-        return [x & np.uint64(size - 1), (x >> np.uint64(32)) & np.uint64(size - 1)]
-
-    def build(batches: Iterable[pa.RecordBatch]):
-        bits = np.zeros(size, bool)
-        for b in batches:
-            for at in places(b.column(0).to_numpy()):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    packed = np.zeros(size // 8, np.uint8)
-    for r in twice.repartition(4).mapInArrow(build, "bits binary").toLocalIterator():  # four bitmaps, one at a time
-        packed |= np.frombuffer(bytes(r.bits), np.uint8)
-    shared = paras.sparkSession.sparkContext.broadcast(packed)
+    values = paras.select(F.explode(F.array(*(F.col(f"m{k}") for k in range(bands)))).alias("h"))
+    twice = materialise(values.groupBy("h").count().where("count > 1").select("h"), "para-twice")
+    shared = paras.sparkSession.sparkContext.broadcast(fold_bits(twice))
+    discard(twice)
+    named = paras.sparkSession.sparkContext.broadcast(fold_bits(keys))
+    first, last = paras.columns.index("m0"), paras.columns.index("h0")
 
     def run(batches: Iterable[pa.RecordBatch]):
-        bits = shared.value
         for b in batches:
-            some = np.zeros(b.num_rows, bool)
+            some = named.value.has(b.column(first - 1).to_numpy())
             for k in range(bands):
-                v = b.column(4 + k).to_numpy().view(np.uint64) >> np.uint64(24)
-                hit = np.ones(b.num_rows, bool)
-                for at in places(v.view(np.int64)):
-                    hit &= (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
-                some |= hit
-            yield b.filter(pa.array(some))
+                some |= shared.value.has(b.column(first + k).to_numpy())
+            yield b.select(range(last)).filter(pa.array(some))
+
+    return paras.mapInArrow(run, paras.drop("h0", "h1", "h2").schema)
+
+
+def buckets(nodes: DataFrame, bands: int) -> DataFrame:
+    """(key, v, head, c) of nodes (key, m0..) that share a band: the bucket, its least node and its size."""
+    entries = nodes.select("key", F.posexplode(F.array(*(F.col(f"m{k}") for k in range(bands)))).alias("band", "m")).select("key", F.xxhash64("band", "m").alias("v"))
+    sizes = entries.groupBy("v").agg(F.count("*").alias("c"), F.min("key").alias("head")).where("c > 1")
+    return entries.join(sizes, "v").select("key", "v", "head", "c")
 
-    return paras.mapInArrow(run, paras.schema)
 
+def to_heads(members: DataFrame) -> DataFrame:
+    """(a, b): each node and the least one of each of its buckets."""
+    return members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
 
-def colliding(nodes: DataFrame, bands: int) -> DataFrame:
-    """(a, b) with a < b of nodes (key, m0.., x) that share a band.
 
-    Members of a small group are paired in the group's row. A crowded group is
-    banded again by two of four further MinHashes, of which a pair at the threshold
-    shares two with a chance of 0.97. What is crowded still holds paragraphs that
-    are much alike; it is cut into blocks, and each pair of blocks is a row.
+def across(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b) with a < b: pairs of one bucket whose classes are unlike, but for those with the least node.
+
+    A bucket is cut into blocks of about ``BLOCK`` nodes; each pair of blocks is a row,
+    so that no task holds a crowd. A bucket of one class gives nothing.
     """
-    entries = nodes.select("key", "x", F.posexplode(F.array(*(F.col(f"m{k}") for k in range(bands)))).alias("band", "v")).select("key", "x", F.xxhash64("band", "v").alias("v"))
-    sizes = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    members = materialise(entries.join(sizes, "v"), "para-members")
-    part = lambda k: F.shiftrightunsigned("x", 16 * k).bitwiseAND(0xFFFF)
-    again = [F.xxhash64("v", F.lit(i), part(i), F.lit(j), part(j)) for i in range(4) for j in range(i)]
-    fine = members.where(F.col("c") > CROWD).select("key", F.explode(F.array(*again)).alias("v"))
-    fine = fine.join(fine.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
-    placed = members.where(F.col("c") <= CROWD).select("key", "v", "c").unionByName(fine.select("key", "v", "c")).withColumn("blocks", F.ceil(F.col("c") / CROWD).cast("int"))
-    block = placed.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).groupBy("v", "blocks", "i").agg(F.collect_list("key").alias("keys"))
+    named = members.where("c > 2").join(label.select(F.col("node").alias("key"), "class"), "key", "left").withColumn("l", F.coalesce("class", "key"))
+    open_ = named.groupBy("v").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("v")
+    named = named.where("key <> head").join(open_, "v", "left_semi").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    block = named.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).groupBy("v", "blocks", "i").agg(F.collect_list(F.struct("l", "key")).alias("x"))
     block = materialise(block, "para-blocks")
-    pairs = "filter(flatten(transform({x}, p -> transform({y}, q -> struct(least(p, q) as a, greatest(p, q) as b)))), z -> z.a < z.b)"
-    small = block.where("blocks = 1").select(F.expr("inline(" + pairs.format(x="keys", y="keys") + ")"))
-    many = block.where("blocks > 1")
-    left = many.select("v", F.col("keys").alias("x"), F.col("i"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
-    both = left.join(many.select("v", F.col("i").alias("j"), F.col("keys").alias("y")), ["v", "j"])
-    return small.unionByName(both.select(F.expr("inline(" + pairs.format(x="x", y="y") + ")"))).distinct()
+    left = block.select("v", F.col("x").alias("p"), F.col("i"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    both = left.join(block.select("v", F.col("i").alias("j"), F.col("x").alias("q")), ["v", "j"])
+    pairs = both.select(F.explode("p").alias("s"), "q").select("s", F.explode(F.filter("q", lambda z: z["l"] != F.col("s.l"))).alias("t"))
+    return pairs.select(F.least("s.key", "t.key").alias("a"), F.greatest("s.key", "t.key").alias("b")).distinct()
+
 
+def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, s, h): shingle and word hashes of the paragraphs in ``wanted`` (row, key), each from one holder.
 
-def contents(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, s, h): shingle hashes and word hashes of the paragraphs named in ``keys`` (doc_id, start, stop, key)."""
+    Texts are not shuffled: documents are picked by a bitmap of ``row``, their
+    paragraphs by one of both; a few others pass and are met by no pair.
+    """
+    rows = docs.sparkSession.sparkContext.broadcast(fold_bits(wanted.select(F.col("row").alias("h")).distinct()))
+    pairs = docs.sparkSession.sparkContext.broadcast(fold_bits(wanted.select(F.col("row").bitwiseXOR(F.col("key")).alias("h"))))
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            wanted = b.column(2).to_pylist()
+            b = b.filter(pa.array(rows.value.has(b.column(0).to_numpy())))
+            row = b.column(0).to_numpy()
             for at, texts in w.blocks(b.column(1)):
                 p = Paragraphs(texts)
-                out: tuple[list, list, list] = ([], [], [])
-                want = [{x for x in wanted[at + k]} for k in range(len(texts))]
-                for k, key, lo, hi, last in zip(p.row, p.key.view(np.int64).tolist(), p.a, p.b, p.last):
-                    if key in want[k]:
-                        want[k].discard(key)
-                        out[0].append(key)
-                        out[1].append(np.unique(p.g[lo:last]).view(np.int64))
-                        out[2].append(p.t.h[lo:hi].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int64()))], ["key", "s", "h"])
-
-    need = keys.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # of one document each
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # hashed at every size: the documents asked for grow with the input, so they aren't broadcast
-    return cols.join(need.hint("shuffle_hash"), "doc_id").mapInArrow(run, "key long, s array<long>, h array<long>")
+                hit = np.flatnonzero(pairs.value.has((row[at + p.row].view(np.uint64) ^ p.key).view(np.int64)))
+                hit = hit[np.unique(p.key[hit], return_index=True)[1]]
+                s = [np.unique(p.g[p.a[k] : p.last[k]]).view(np.int64) for k in hit]
+                h = [p.t.h[p.a[k] : p.b[k]].view(np.int64) for k in hit]
+                yield pa.RecordBatch.from_arrays([_long(p.key[hit]), pa.array(s, pa.list_(pa.int64())), pa.array(h, pa.list_(pa.int64()))], ["key", "s", "h"])
+
+    return _source(docs).select("row", "text").mapInArrow(run, "key long, s array<long>, h array<long>")
 
 
 def _edits(a: list[int], b: list[int], most: int) -> bool:
@@ -286,52 +304,53 @@ def _edits(a: list[int], b: list[int], most: int) -> bool:
 
 
 def joined(pairs: DataFrame, parts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs that are similar enough, by shingles or, if few, by words."""
+    """The pairs that are similar enough, by shingles or, if few, by words; only these few go to Python."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            a, c, sa, sb, ha, hb = (b.column(k).to_pylist() for k in range(6))
-            keep = []
-            for x, y, p, q in zip(sa, sb, ha, hb):
-                shared = len(set(x) & set(y))
-                ok = shared >= similarity * (len(x) + len(y) - shared)
-                keep.append(ok or (min(len(x), len(y)) <= FEW and _edits(p, q, max(1, int(EDITS * max(len(p), len(q)))))))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
+            keep = [ok or (p is not None and _edits(p, q, max(1, int(EDITS * max(len(p), len(q)))))) for ok, p, q in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = parts.select(F.col("key").alias("a"), F.col("s").alias("sa"), F.col("h").alias("ha"))
     right = parts.select(F.col("key").alias("b"), F.col("s").alias("sb"), F.col("h").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ha", "hb").mapInArrow(run, "a long, b long")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("ok", shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+    most = F.greatest(F.lit(1), F.floor(EDITS * F.greatest(F.size("ha"), F.size("hb"))))
+    few = ~F.col("ok") & (F.least(F.size("sa"), F.size("sb")) <= FEW) & (F.abs(F.size("ha") - F.size("hb")) <= most)
+    near = both.select("a", "b", "ok", F.when(few, F.col("ha")).alias("p"), F.when(few, F.col("hb")).alias("q")).where("ok or p is not null")
+    return near.mapInArrow(run, "a long, b long")
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, first_doc_id, class_id, start_word, end_word, removed, run_words) of repeated paragraphs."""
     bands, rows = tuned(similarity)
     every = materialise(paragraphs(docs, bands, rows), "para-all")
-    apart = materialise(one_apart(docs), "para-apart")
-    ends = apart.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # those that also meet in a band come twice; grouping by key and the last distinct take them as one
-    paras = materialise(met_twice(every, bands).unionByName(every.join(ends, "key", "left_semi").select(*every.columns)), "para-some")
-    place = F.struct(F.col("doc_id"), F.col("start"), F.col("stop"))
-    nodes = materialise(paras.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in (*(f"m{k}" for k in range(bands)), "x"))), "para-nodes")
-    pairs = materialise(colliding(nodes.drop("first", "last"), bands).unionByName(apart).distinct(), "para-pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = nodes.join(keys, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"))
-    parts = materialise(contents(docs, named).dropDuplicates(["key"]), "para-contents")
-    label = components(joined(pairs, parts, similarity)).select(F.col("node").alias("key"), F.col("class").alias("c"))
-    known = nodes.join(label, "key", "left").where("c is not null or first <> last").select("key", F.coalesce("c", "key").alias("class_id"), "first")
+    apart = materialise(one_apart(docs, shared_halves(every)), "para-apart")
+    paras = materialise(met_twice(every, bands, apart.select(F.explode(F.array("a", "b")).alias("h")).distinct()), "para-some")
+    discard(every)
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start", "stop")
+    nodes = materialise(paras.groupBy("key").agg(F.min(here).alias("first"), F.max(here).alias("last"), *(F.first(c).alias(c) for c in (f"m{k}" for k in range(bands)))), "para-nodes")
+    members = materialise(buckets(nodes.drop("first", "last"), bands), "para-members")
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select(F.col("first.row").alias("row"), "key")
+    parts = materialise(contents(docs, wanted), "para-contents")
+    # against the least node of each bucket first, then what is left open
+    links = materialise(joined(to_heads(members), parts, similarity).unionByName(apart).distinct(), "para-links")
+    rest = materialise(across(members, components(links)), "para-rest")
+    links = materialise(links.unionByName(joined(rest, parts, similarity)).distinct(), "para-links")
+    discard(members, parts, rest)
+    label = components(links).select(F.col("node").alias("key"), F.col("class").alias("c"))
+    known = nodes.join(label, "key", "left").where(F.col("c").isNotNull() | ~F.col("first").eqNullSafe(F.col("last"))).select("key", F.coalesce("c", "key").alias("class_id"), "first")
     heads = known.groupBy("class_id").agg(F.min("first").alias("head"))
     known = materialise(known.join(heads, "class_id").select("key", "class_id", "head"), "para-classes")
-    out = paras.select("key", "doc_id", "start", "stop").join(known, "key")
-    here = F.struct(F.col("doc_id"), F.col("start"), F.col("stop"))
-    out = out.select("doc_id", F.col("head.doc_id").alias("first_doc_id"), "class_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word"), (here != F.col("head")).alias("removed")).distinct()
+    out = paras.select("key", "doc_id", "row", "start", "stop").join(known, "key")
+    out = out.select("doc_id", "row", F.col("head.doc_id").alias("first_doc_id"), "class_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word"), (~here.eqNullSafe(F.col("head"))).alias("removed")).distinct()
     # runs of adjoining repeats, within one document
-    by_doc = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "class_id")
+    by_doc = Window.partitionBy("row").orderBy("start_word", "end_word", "class_id")
     out = out.withColumn("new", (F.col("start_word") > F.coalesce(F.lag("end_word").over(by_doc), F.lit(-LEAST)) + LEAST).cast("int"))
     out = out.withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    length = Window.partitionBy("doc_id", "run")
+    length = Window.partitionBy("row", "run")
     out = out.withColumn("run_words", F.max("end_word").over(length) - F.min("start_word").over(length))
-    return out.where(F.col("run_words") >= RUN).drop("new", "run")
+    return out.where(F.col("run_words") >= RUN).drop("new", "run", "row")
 
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

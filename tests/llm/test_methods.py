@@ -399,13 +399,17 @@ def test_bands():
 
 
 def test_crowded_bands_are_whole(spark):
-    keys = [(k, 5, 100 + k, 7) for k in range(150)]
-    got = substrings.colliding(spark.createDataFrame(keys, "key long, m0 long, m1 long, x long"), 2)
-    assert got.count() == 150 * 149 // 2
-    # a crowd of unlike members is split by the further values: only those that share two are paired
-    keys = [(k, 5, 100 + k, k // 2 + ((k // 2) << 16) + (k << 32) + (k << 48)) for k in range(150)]
-    got = substrings.colliding(spark.createDataFrame(keys, "key long, m0 long, m1 long, x long"), 2)
-    assert {(r.a, r.b) for r in got.collect()} == {(k, k + 1) for k in range(0, 150, 2)}
+    """Every pair of a bucket is looked at, but for those that are of one class already."""
+    keys = [(k, 5, 100 + k) for k in range(300)]
+    members = substrings.buckets(spark.createDataFrame(keys, "key long, m0 long, m1 long"), 2)
+    heads = {(r.a, r.b) for r in substrings.to_heads(members).collect()}
+    assert heads == {(0, k) for k in range(1, 300)}
+    label = spark.createDataFrame([(k, 0) for k in range(100)], "node long, class long")
+    rest = {(r.a, r.b) for r in substrings.across(members, label).collect()}
+    every = {(a, b) for a in range(300) for b in range(a + 1, 300)}
+    assert rest == {(a, b) for a, b in every - heads if b >= 100}
+    one = spark.createDataFrame([(k, 0) for k in range(300)], "node long, class long")
+    assert substrings.across(members, one).count() == 0
 
 
 def test_similar_paragraphs_join(spark):
@@ -479,6 +483,64 @@ def test_neardup_recall_counts_radius_and_all_distances():
     assert sum((k, k + n) not in found for k in range(n)) <= 6  # 1.5 expected; 19 at radius 30
 
 
+def test_paragraphs_against_all_pairs(spark):
+    """Classes of repeated paragraphs against every pair of paragraphs, with ids that are null or shared."""
+    rng = random.Random(77)
+    base = [words_of(rng, rng.randint(18, 40)) for _ in range(25)]
+    rows = []
+    for k in range(120):
+        lines_ = []
+        for _ in range(3):
+            x = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                x[rng.randrange(len(x))] = words_of(rng, 1)[0]
+            lines_.append(" ".join(x))
+        rows.append((None if k % 7 == 0 else k - k % 2, "\n".join(lines_)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = substrings.Paragraphs(w.strings(pa.array([t for _, t in rows])))
+    sets = {int(key): set(p.g[lo:last].tolist()) for key, lo, last in zip(p.key.view(np.int64), p.a, p.last)}
+    where = {}
+    for key, row, lo, hi in zip(p.key.view(np.int64).tolist(), p.row, p.a, p.b):
+        where.setdefault(key, set()).add((rows[row], int(lo - p.t.at[row]), int(hi - p.t.at[row])))
+    words_in = {int(key): p.t.h[lo:hi].tolist() for key, lo, hi in zip(p.key.view(np.int64), p.a, p.b)}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = 0
+    for x in sets:
+        for y in sets:
+            if x < y:
+                shared = len(sets[x] & sets[y])
+                near = shared >= 0.8 * len(sets[x] | sets[y])
+                pairs += near
+                if near or (min(len(words_in[x]), len(words_in[y])) <= 17 and substrings._edits(words_in[x], words_in[y], 1)):
+                    root[max(find(x), find(y))] = min(find(x), find(y))
+    groups = {}
+    for k in sets:
+        groups.setdefault(find(k), set()).update((r, lo, hi) for r, lo, hi in where[k])
+    want = {(r[0], lo, hi) for g in groups.values() if len(g) > 1 for r, lo, hi in g}
+    got = substrings.repeated_paragraphs(df).collect()
+    found = {(r.doc_id, r.start_word, r.end_word) for r in got}
+    assert pairs > 10 and found <= want
+    long_enough = {x for x in want if x[2] - x[1] >= substrings.RUN}
+    assert len(long_enough - found) <= 0.02 * len(long_enough)
+    assert any(r.doc_id is None for r in got)
+
+
+def test_a_first_holder_without_an_id_loses_no_link(spark):
+    rng = random.Random(31)
+    x = words_of(rng, 40)
+    edited = [*x[:20], "neu", *x[21:]]
+    rows = [(0, " ".join(x))] * 8 + [(None, " ".join(x))] * 4 + [(5, " ".join(edited)), (None, " ".join(edited))]
+    got = substrings.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {0, 5, None} and {r.first_doc_id for r in got} == {0}
+    assert {r.removed for r in got if r.doc_id == 0} == {False} and all(r.removed for r in got if r.doc_id is None)
+
+
 def test_short_paragraphs_one_word_apart_are_all_found(spark):
     rng = random.Random(51)
     docs, n = [], 60
@@ -491,7 +553,7 @@ def test_short_paragraphs_one_word_apart_are_all_found(spark):
             p[at : at + 1] = words_of(rng, rng.choice([0, 1, 1, 2]))
         docs.append((2 * k + 1, "\n".join(" ".join(p) for p in y)))
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)  # cuts look past the ends of a block's texts
-    found = {(r.a, r.b) for r in substrings.one_apart(df).collect()}
+    found = {(r.a, r.b) for r in substrings.one_apart(df, substrings.shared_halves(substrings.paragraphs(df, *substrings.tuned()))).collect()}
     keyed, want = {}, set()
     p = substrings.Paragraphs(w.strings(pa.array([text for _, text in docs])))
     for key, a, b in zip(p.key.view(np.int64).tolist(), p.a, p.b):
