@@ -534,10 +534,13 @@ def test_paragraphs_against_all_pairs(spark):
 def test_a_first_holder_without_an_id_loses_no_link(spark):
     rng = random.Random(31)
     x = words_of(rng, 40)
-    edited = [*x[:20], "neu", *x[21:]]
+    cuts = lambda t: [p := substrings.Paragraphs(w.strings(pa.array([" ".join(t)]))), list(zip(p.a.tolist(), p.b.tolist()))][1]
+    spot = next(k for k in range(10, 30) if cuts([*x[:k], "neu", *x[k + 1 :]]) == cuts(x) and any(a <= k < b <= a + 17 for a, b in cuts(x)))
+    edited = [*x[:spot], "neu", *x[spot + 1 :]]
     rows = [(0, " ".join(x))] * 8 + [(None, " ".join(x))] * 4 + [(5, " ".join(edited)), (None, " ".join(edited))]
     got = substrings.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == {0, 5, None} and {r.first_doc_id for r in got} == {0}
+    assert any(r.doc_id == 5 and r.start_word <= spot < r.end_word for r in got)
     assert {r.removed for r in got if r.doc_id == 0} == {False} and all(r.removed for r in got if r.doc_id is None)
 
 
