@@ -66,7 +66,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sonarlake/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     if not _written:
         atexit.register(_release_all, spark)
     _written.setdefault(_scope.get(), []).append(path)

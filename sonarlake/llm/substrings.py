@@ -65,15 +65,17 @@ def cuts(h: np.ndarray, at: np.ndarray, lines: np.ndarray, reach: int = REACH) -
         z = np.zeros(0, np.int64)
         return z, z
     pair = w.mix(h * np.uint64(0x9FB21C651E98DF25))
-    padded = np.concatenate([np.full(reach, np.uint64(2**64 - 1)), pair, np.full(reach, np.uint64(2**64 - 1))])
-    before = padded[:n].copy()
-    after = padded[reach + 1 : reach + 1 + n].copy()
-    for k in range(1, reach):
-        np.minimum(before, padded[k : k + n], out=before)
-        np.minimum(after, padded[reach + 1 + k : reach + 1 + k + n], out=after)
     edge = np.zeros(n + 1, bool)
-    edge[:n] = (pair < before) & (pair <= after)
     edge[at] = edge[lines] = True
+    # a gap before each line, so that a word's surroundings end with its line, whatever text comes next
+    place = np.arange(n) + reach * np.cumsum(edge[:n])
+    padded = np.full(int(place[-1]) + 1 + reach, np.uint64(2**64 - 1))
+    padded[place] = pair
+    before, after = padded[place - 1], padded[place + 1]
+    for k in range(2, reach + 1):
+        np.minimum(before, padded[place - k], out=before)
+        np.minimum(after, padded[place + k], out=after)
+    edge[:n] |= (pair < before) & (pair <= after)
     starts = np.flatnonzero(edge)
     a, b = starts[:-1], starts[1:]
     keep = b - a >= LEAST

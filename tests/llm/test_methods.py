@@ -483,6 +483,20 @@ def test_neardup_recall_counts_radius_and_all_distances():
     assert sum((k, k + n) not in found for k in range(n)) <= 6  # 1.5 expected; 19 at radius 30
 
 
+def test_cuts_do_not_depend_on_the_text_that_comes_next():
+    rng = random.Random(12)
+    texts = [" ".join(words_of(rng, rng.randint(1, 60))) + rng.choice(["", "\n" + " ".join(words_of(rng, 20))]) for _ in range(40)]
+
+    def cut(some):
+        p = substrings.Paragraphs(w.strings(pa.array(some)))
+        out = [[] for _ in some]
+        for row, lo, hi in zip(p.row, p.a, p.b):
+            out[row].append((int(lo - p.t.at[row]), int(hi - p.t.at[row])))
+        return out
+
+    assert cut(texts) == [cut([t])[0] for t in texts]
+
+
 def test_paragraphs_against_all_pairs(spark):
     """Classes of repeated paragraphs against every pair of paragraphs, with ids that are null or shared."""
     rng = random.Random(77)
