@@ -9,8 +9,10 @@ candidate stands if the longest common subsequence of words covers most of the
 item, or a good share of it and the item's answer (the content words of its last
 sentence) is there as well.
 
-A candidate must share ``SHARED`` content words (or all an item has) with its
-item to stand, so passages with fewer are left out of the sketch and the search.
+All passages with as many words of the benchmark as an item needs are held against
+all items of the block by a product of their latent vectors; words decide nothing
+there. To stand, a candidate must share ``SHARED`` content words (or all an item
+has) with its item, so passages with fewer are left out of the sketch and search.
 An item of which less than ``PART`` of the words are content words (it is of
 common words, or was copied so often that its words became common) is searched
 by all its words instead: a copy that stands has at least ``needed`` of them in
@@ -18,9 +20,12 @@ one passage, every such passage is a candidate whatever its cosine, and the
 common subsequence decides.
 
 Defined results: null and empty texts and items have no words and match nothing;
-an item is found in itself; repeated rows give one result; documents that match
-nothing give no row; an empty benchmark gives an empty result; extra columns are
-ignored. Items are taken in blocks of ``ITEMS``, so what is broadcast is bounded.
+an item is found in itself; repeated rows give one result; rows are told apart by
+id and text, so one without an id is judged like any other; of equally good places
+in a document the last is given; a text of any length is cut into passages as a
+whole; documents that match nothing give no row; an empty benchmark gives an empty
+result; extra columns are ignored. Items are taken in blocks of ``ITEMS``, so what
+is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -45,7 +50,9 @@ RANK, OVER = 256, 16
 COSINE = 0.3
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
 ITEMS = 5000
+FAN_IN = 8
 SLOTS = 20
+FOUND = "doc_id long, row long, item_id long, lcs_share double, answer_share double, start_word long, cosine double"
 
 
 class Items:
@@ -78,16 +85,16 @@ class Items:
 
 
 def known_words(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, n, pos, ids) per document, and rows with ``df``: passages by word, summed per batch."""
+    """(doc_id, row, n, pos, ids) per document, and rows with ``df``: passages by word, summed per batch."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterable[pa.RecordBatch]):
         x = shared.value
         size = len(x.vocab)
-        names = ["doc_id", "n", "pos", "ids", "df", "passages"]
+        names = ["doc_id", "row", "n", "pos", "ids", "df", "passages"]
         for b in batches:
             df, passages = np.zeros(size, np.int64), 0
-            for at, texts in w.blocks(b.column(1)):
+            for at, texts in w.blocks(b.column(2)):
                 t = w.words(texts)
                 ids = x.lookup(t.h)
                 hit = np.flatnonzero(ids >= 0)
@@ -108,17 +115,17 @@ def known_words(docs: DataFrame, items: Items) -> DataFrame:
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
                 raw = (pos.tobytes(), ids.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), pa.array(count, pa.int64()), *(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * cut).astype(np.int32).tobytes()), pa.py_buffer(r)]) for r in raw), pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.int64())], names
+                    [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(count, pa.int64()), *(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * cut).astype(np.int32).tobytes()), pa.py_buffer(r)]) for r in raw), pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.int64())], names
                 )
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([passages], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([passages], pa.int64())], names)
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, n long, pos binary, ids binary, df binary, passages long")
+    cols = cols.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), "text")
+    return cols.mapInArrow(run, "doc_id long, row long, n long, pos binary, ids binary, df binary, passages long")
 
 
 def summed(rows: DataFrame, column: str, kind: type) -> np.ndarray | None:
-    """The sum of packed vectors (column), first within partitions, then of those."""
-    few = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+    """The sum of packed vectors (column), by a tree in which a task reads about ``FAN_IN`` of them."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         total = None
@@ -129,13 +136,17 @@ def summed(rows: DataFrame, column: str, kind: type) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], [column])
 
-    one = rows.select(column).mapInArrow(run, f"{column} binary").repartition(few).mapInArrow(run, f"{column} binary")
-    got = one.repartition(1).mapInArrow(run, f"{column} binary").collect()
+    left = rows.rdd.getNumPartitions()
+    rows = rows.select(column).mapInArrow(run, f"{column} binary")
+    while left > 1:
+        left = -(-left // FAN_IN)
+        rows = rows.repartition(left).mapInArrow(run, f"{column} binary")
+    got = rows.collect()
     return np.frombuffer(bytes(got[0][0]), kind) if got else None
 
 
 def passages(known: DataFrame, weight: np.ndarray, least: int) -> DataFrame:
-    """(doc_id, start, ids): passages with ``least`` distinct content words, those with a weight."""
+    """(row, start, ids): passages with ``least`` distinct content words, those with a weight."""
     shared = known.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -165,9 +176,9 @@ def passages(known: DataFrame, weight: np.ndarray, least: int) -> DataFrame:
             member = np.repeat(good, n)
             owner = np.searchsorted(base, at[good], "right") - 1
             cut = np.concatenate([[0], np.cumsum(n[good])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array((at[good] - base[owner]) * STRIDE, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array((pair % size)[member].astype(np.int32)))], ["doc_id", "start", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array((at[good] - base[owner]) * STRIDE, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array((pair % size)[member].astype(np.int32)))], ["row", "start", "ids"])
 
-    return known.where("df is null").select("doc_id", "n", "pos", "ids").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return known.where("df is null").select("row", "n", "pos", "ids").mapInArrow(run, "row long, start long, ids array<int>")
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -328,39 +339,40 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
     def search(batches: Iterable[pa.RecordBatch]):
         wt, bs, lt, live, own, need, scarce, *_ = shared.value
         need, scarce = need[live], scarce[live]
-        flat = np.concatenate([own[k] for k in live])
+        few = np.flatnonzero(scarce)
+        flat = np.concatenate([own[live[k]] for k in few]) if len(few) else np.zeros(0, np.int64)
         by_word = np.argsort(flat, kind="stable")
-        holder = np.repeat(np.arange(len(live)), [len(own[k]) for k in live])[by_word]
+        holder = np.repeat(few, [len(own[live[k]]) for k in few])[by_word]
         ptr = np.searchsorted(flat[by_word], np.arange(len(wt) + 1))
+        step = max(1, 10_000_000 // max(1, len(live)))
         for b in batches:
-            for s in range(0, b.num_rows, 5000):
-                off, ids = _rows(b.column(2).slice(s, 5000))
-                row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                # words that a passage shares with each item; fewer than needed cannot stand
-                n = ptr[ids + 1] - ptr[ids]
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[ids], n)
-                pair, shares = np.unique(np.repeat(row, n) * len(live) + holder[at], return_counts=True)
-                pair = pair[shares >= need[pair % len(live)]]
-                r, c = pair // len(live), pair % len(live)
-                if not len(r):
-                    continue
-                used, back = np.unique(r, return_inverse=True)
-                mine = np.isin(row, used)
-                y = project(np.concatenate([[0], np.cumsum(np.diff(off)[used])]), ids[mine], wt, bs)
-                cos = (y[back] * lt[c]).sum(1) / np.maximum(np.linalg.norm(y, axis=1), 1e-9)[back]
-                ok = (cos >= COSINE) | scarce[c]
-                r, c, cos = r[ok], c[ok], cos[ok]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 5000).take(pa.array(r)), b.column(1).slice(s, 5000).take(pa.array(r)), pa.array(np.array(live)[c].astype(np.int32)), pa.array(cos.astype(float))], ["doc_id", "start", "item", "cosine"])
-
-    near = materialise(rows.mapInArrow(search, "doc_id long, start long, item int, cosine double"), "leak-candidates")
-    per = near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "start", "cosine")).alias("c"))  # of one document each
+            for s in range(0, b.num_rows, min(5000, step)):
+                part = b.slice(s, min(5000, step))
+                off, ids = _rows(part.column(2))
+                y = project(off, ids, wt, bs)
+                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+                near = y @ lt.T
+                r, c = np.nonzero(near >= COSINE)
+                if len(few):
+                    # items of common words: all passages with as many of their words as a copy has
+                    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                    n = ptr[ids + 1] - ptr[ids]
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[ids], n)
+                    pair, shares = np.unique(np.repeat(row, n) * len(live) + holder[at], return_counts=True)
+                    pair = np.union1d(pair[shares >= need[pair % len(live)]], r * len(live) + c)
+                    r, c = pair // len(live), pair % len(live)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(np.array(live)[c].astype(np.int32)), pa.array(near[r, c].astype(float))], ["row", "start", "item", "cosine"])
+
+    near = materialise(rows.mapInArrow(search, "row long, start long, item int, cosine double"), "leak-candidates")
+    per = near.groupBy("row").agg(F.collect_list(F.struct("item", "start", "cosine")).alias("c"))  # of one document each
 
     def decide(batches: Iterable[pa.RecordBatch]):
         *_, own, _, scarce, x, content = shared.value
         item_words, answers = [x.lookup(v) for v in x.words], [x.lookup(v) for v in x.answers]
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, raw_pos, raw_ids, ask in zip(*(b.column(k).to_pylist() for k in range(4))):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for doc_id, row, raw_pos, raw_ids, ask in zip(*(b.column(k).to_pylist() for k in range(5))):
                 pos, ids, best = np.frombuffer(raw_pos, np.uint32).astype(np.int64), np.frombuffer(raw_ids, np.uint32).astype(np.int32), {}
                 for c in ask:
                     i = c["item"]
@@ -368,25 +380,30 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
                     if got and (i not in best or got > best[i][:2]):
                         best[i] = (*got, c["start"], c["cosine"])
                 for i, (share, answer, start, cosine) in sorted(best.items()):
-                    for col, v in zip(out, (doc_id, x.ids[i], share, answer, start, cosine)):
+                    for col, v in zip(out, (doc_id, row, x.ids[i], share, answer, start, cosine)):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()])], ["doc_id", "item_id", "lcs_share", "answer_share", "start_word", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()])], ["doc_id", "row", "item_id", "lcs_share", "answer_share", "start_word", "cosine"])
 
     # hashed at every size: the candidates grow with the input, so they aren't broadcast
-    asked = known.where("df is null").select("doc_id", "pos", "ids").join(per.hint("shuffle_hash"), "doc_id")
-    return asked.mapInArrow(decide, "doc_id long, item_id long, lcs_share double, answer_share double, start_word long, cosine double")
+    asked = known.where("df is null").select("doc_id", "row", "pos", "ids").join(per.hint("shuffle_hash"), "row").select("doc_id", "row", "pos", "ids", "c")
+    return asked.mapInArrow(decide, FOUND)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
-    """(doc_id, item_id, lcs_share, answer_share, start_word, cosine) of documents that hold an item."""
+def found_leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
+    """:func:`leaks` with ``row``, the hash of a document's id and text's hash."""
     source = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
     blocks = max(1, -(-source.count() // block))
-    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_share double, answer_share double, start_word long, cosine double")
+    found = docs.sparkSession.createDataFrame([], FOUND)
     for k in range(blocks):  # each of about `block` items, one at a time
         part = source.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
         if part and (one := _one_block(docs, Items([r.i for r in part], [r.t for r in part]))) is not None:
             found = found.unionByName(one)
-    return found.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("lcs_share", "answer_share", "start_word")).alias(c) for c in ("lcs_share", "answer_share", "start_word", "cosine")))
+    return found.groupBy("doc_id", "row", "item_id").agg(*(F.max_by(c, F.struct("lcs_share", "answer_share", "start_word")).alias(c) for c in ("lcs_share", "answer_share", "start_word", "cosine")))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:
+    """(doc_id, item_id, lcs_share, answer_share, start_word, cosine) of documents that hold an item."""
+    return found_leaks(docs, benchmark, block).drop("row")
 
 
 def op1_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

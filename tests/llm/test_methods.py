@@ -468,6 +468,57 @@ def test_decontamination_finds_items_whose_words_became_common(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, 0) for k in range(0, 121, 3)} | {(120, 0), (121, 4)}
 
 
+def test_leaks_against_an_exhaustive_search(spark):
+    """Every item against every passage of every document by common subsequences, without a latent space: recall of the search, and nothing else found."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    rng = random.Random(4)
+    texts = {r.item_id: r.text for r in bench.collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k, i in enumerate(sorted(texts)[:30]):  # paraphrases: every fifth word is another
+        x = texts[i].split()
+        rows.append((10_000 + k if k % 3 else None, " ".join(words_of(rng, 30) + [words_of(rng, 1)[0] if j % 5 == 1 and j < 0.8 * len(x) else y for j, y in enumerate(x)] + words_of(rng, 30))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.row, r.item_id) for r in decontaminate.found_leaks(df, bench).collect()}
+    x = decontaminate.Items(list(texts), list(texts.values()))
+    row_of = [r.h for r in df.selectExpr("xxhash64(doc_id, xxhash64(text)) as h").collect()]
+    known = []
+    count, total = np.zeros(len(x.vocab), int), 0
+    for _, text in rows:
+        h = w.words(w.strings(pa.array([text], pa.string()))).h
+        ids = x.lookup(h)
+        lots = max(1, -(-(len(h) - decontaminate.PASSAGE) // decontaminate.STRIDE) + 1) if len(h) else 0
+        total += lots
+        for k in range(lots):
+            part = ids[k * decontaminate.STRIDE : k * decontaminate.STRIDE + decontaminate.PASSAGE]
+            count[np.unique(part[part >= 0])] += 1
+        known.append((np.flatnonzero(ids >= 0), ids[ids >= 0], lots))
+    content = np.flatnonzero((count > 0) & (count <= max(decontaminate.CONTENT * total, 25)))
+    want = set()
+    for at, (pos, ids, lots) in enumerate(known):
+        for k, i in enumerate(x.ids):
+            item, answer = x.lookup(x.words[k]), x.lookup(x.answers[k])
+            if np.isin(item, ids).mean() >= decontaminate.PARAPHRASE and any(decontaminate.judged(item, answer, content, item[:0], pos, ids, s * decontaminate.STRIDE) for s in range(lots)):
+                want.add((row_of[at], i))
+    assert got <= want and len(want) >= 30 and len(got) >= 0.98 * len(want)
+    assert any(doc_id is None and row_of[at] in {r for r, _ in got} for at, (doc_id, _) in enumerate(rows))
+
+
+def test_randomised_basis_is_near_the_exact_one(spark):
+    """Cosines in the sketched space against those in numpy's own singular vectors."""
+    rng = np.random.default_rng(9)
+    lists_ = [np.sort(rng.choice(60, rng.integers(4, 9), replace=False)).tolist() for _ in range(400)]
+    items = [np.sort(rng.choice(60, 10, replace=False)) for _ in range(12)]
+    weight = rng.uniform(1, 4, 60)
+    rows = spark.createDataFrame([(0, 0, x) for x in lists_], "row long, start long, ids array<int>").repartition(9)
+    basis = decontaminate.latent_space(rows, weight, items, rank=40)
+    unit = lambda x: (weight * np.isin(np.arange(60), x)) / np.linalg.norm(weight[x])
+    a, b = np.array([unit(np.array(x)) for x in lists_]), np.array([unit(x) for x in items])
+    exact = np.linalg.svd(np.concatenate([a, np.sqrt(400 / 12) * b]), full_matrices=False)[2][:40].T
+    cos = lambda v: (lambda p, q: (p / np.linalg.norm(p, axis=1, keepdims=True)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T)(a @ v, b @ v)
+    assert np.abs(cos(basis) - cos(exact)).mean() < 0.03
+
+
 def test_neardup_recall_counts_radius_and_all_distances():
     p = neardup.bit_difference(0.8)
     plan = neardup.planned(p, neardup.RECALL, 1)
