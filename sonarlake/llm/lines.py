@@ -9,7 +9,7 @@ once. Selected places are joined by their hash; around those met at two places o
 more the match is extended to both sides, to all windows that selected the place
 and, window by window, on to the ends of the run; a window is compared by a digest
 of its lines with the first that has it, so there are no pairs of places. Every
-window but the first of its text (by doc_id, then line) is deleted, so of each
+window but the first of its text (by doc_id, null last, then line) is deleted, so of each
 repeated run the first copy stays.
 
 Defined results: a null text has no lines and stays null; a document shorter
@@ -69,12 +69,13 @@ def windows(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFram
 
 def repeated(wins: DataFrame) -> DataFrame:
     """(doc_id, th, gone): the lines to delete in each document that has any; ``wins`` is stored."""
-    at = F.struct("doc_id", "th", "i")
+    last = F.col("doc_id").isNull().alias("last")
+    at = F.struct(last, "doc_id", "th", "i")
     shared = wins.where("head").groupBy("f").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("f")
     near = wins.select("doc_id", "th", "p", "q", "f", "w").join(shared, "f", "left_semi")
-    place = F.struct("doc_id", "th", "p")
+    place = F.struct(last, "doc_id", "th", "p")
     first = near.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w", "a")
-    later = near.join(first, "w").where(F.struct("doc_id", "th", "p") > F.col("a"))
+    later = near.join(first, "w").where(place > F.col("a"))
     return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(p, q)")))).alias("gone"))
 
 

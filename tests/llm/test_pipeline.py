@@ -81,3 +81,29 @@ def test_repeated_rows_and_clashing_columns(spark, tmp_path):
         assert out.columns == twice.columns
     near = cp.near_stage(spark, twice, sf)
     assert near.where("doc_id = 3").count() == 1
+
+
+def test_stages_take_rows_without_an_id_and_ties(spark, tmp_path):
+    """Null ids, one id with two texts, repeated rows and a long text: each row is judged by its text."""
+    sf = str(tmp_path / "sf")
+    docs, _, _ = corpus(spark, sf)
+    rng = random.Random(8)
+    text = lambda n: " ".join(words_of(rng, n))
+    item, lone, long_text = docs[300], text(60), text(30_000)
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(None, docs[5]), (None, item), (None, lone), (None, lone), (7, lone + " " + text(1)), (7, long_text), (900, long_text), (900, long_text)]
+    more = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], now.schema)
+    now = now.where("doc_id < 300").unionByName(more)
+    near = [(r.doc_id, r.text) for r in cp.near_stage(spark, now, sf).collect()]
+    assert (None, docs[5]) not in near and (5, docs[5]) in near and (7, docs[7]) in near
+    # of one class the row with the least id stays: 7 has another text than the one without an id
+    assert (None, lone) not in near and sum(t == long_text for _, t in near) == 1 and (7, long_text) in near
+    kept = [(r.doc_id, r.text) for r in cp.decontamination_stage(spark, now, sf).collect()]
+    assert (None, item) not in kept and kept.count((None, lone)) == 2 and (5, docs[5]) in kept
+    packed = cp.packing_stage(spark, now, sf).collect()
+    assert sum(r.piece == 0 for r in packed) == now.count()
+    lines = [(r.doc_id, r.text) for r in cp.line_stage(spark, now, sf).collect()]
+    assert len(lines) <= now.count() and (5, docs[5]) in lines
+    empty = now.limit(0)
+    for _, stage in cp.STAGES[1:]:
+        assert stage(spark, empty, sf).count() == 0
