@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarlake.llm.decontaminate import leaks
+from sonarlake.llm.decontaminate import found_leaks
 from sonarlake.llm.lines import line_dedup
 from sonarlake.llm.neardup import classes
 from sonarlake.llm.packing import pack_documents
@@ -28,6 +28,13 @@ def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     return docs.join(stored, docs["doc_id"] == stored[gone], "left_anti")
 
 
+def _without_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows of an id, null or not, and a text's hash in ``gone`` (doc_id, node)."""
+    i, h = fresh("_odd_id", docs.columns), fresh("_odd_text", docs.columns)
+    gone = gone.select(F.col("doc_id").alias(i), F.col("node").alias(h)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[i]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone[h]), "left_anti")
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; a null or empty text stays."""
     release(spark, "pipeline")
@@ -60,9 +67,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         # ids of which one text stays and another goes (no id at all is one of these): by id and text
         odd = per.where("not all and (some or doc_id is null)").select("doc_id")
         if not odd.isEmpty():
-            i, h = fresh("_odd_id", docs.columns), fresh("_odd_text", docs.columns)
-            gone = found.join(odd.withColumnRenamed("doc_id", "odd"), F.col("doc_id").eqNullSafe(F.col("odd"))).where("not is_kept").select(F.col("doc_id").alias(i), F.col("node").alias(h)).distinct()
-            out = out.join(gone, out["doc_id"].eqNullSafe(gone[i]) & (F.xxhash64(F.coalesce(out["text"].cast("string"), F.lit(""))) == gone[h]), "left_anti")
+            gone = found.join(odd.withColumnRenamed("doc_id", "odd"), F.col("doc_id").eqNullSafe(F.col("odd"))).where("not is_kept")
+            out = _without_texts(out, gone)
         if per.where("c > 1").isEmpty():
             return out
         t = fresh("_text_hash", docs.columns)
@@ -70,10 +76,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a paraphrase of one, go; null and empty texts stay, and so does a row without an id."""
+    """Documents that hold a benchmark item, or a paraphrase of one, go; null and empty texts stay; a row without an id is judged by its text."""
     release(spark, "pipeline")
     with scoped("pipeline"):
-        return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leak-gone")
+        found = materialise(found_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "row"), "leak-found")
+        out = _without(docs, found, "leak-gone")
+        # the row of no id is the hash of its text's hash alone
+        lost = found.where("doc_id is null").select("row").distinct()
+        if lost.isEmpty():
+            return out
+        h = F.xxhash64(F.xxhash64(out["text"].cast("string")))
+        return out.join(lost, out["doc_id"].isNull() & (h == lost["row"]), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
