@@ -10,9 +10,9 @@ item, or a good share of it and the item's answer (the content words of its last
 sentence) is there as well.
 
 All passages with as many words of the benchmark as an item needs are held against
-all items of the block by a product of their latent vectors; words decide nothing
-there. To stand, a candidate must share ``SHARED`` content words (or all an item
-has) with its item, so passages with fewer are left out of the sketch and search.
+all items of the block by a product of their latent vectors: those near enough are
+the candidates. The check of these begins with the words that both share: ``SHARED``
+content words, or all an item has.
 An item of which less than ``PART`` of the words are content words (it is of
 common words, or was copied so often that its words became common) is searched
 by all its words instead: a copy that stands has at least ``needed`` of them in
@@ -344,6 +344,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
         by_word = np.argsort(flat, kind="stable")
         holder = np.repeat(few, [len(own[live[k]]) for k in few])[by_word]
         ptr = np.searchsorted(flat[by_word], np.arange(len(wt) + 1))
+        words_of = np.sort(np.concatenate([at * len(wt) + own[k] for at, k in enumerate(live)]))
         step = max(1, 10_000_000 // max(1, len(live)))
         for b in batches:
             for s in range(0, b.num_rows, min(5000, step)):
@@ -353,6 +354,13 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
                 near = y @ lt.T
                 r, c = np.nonzero(near >= COSINE)
+                # the check begins here, so that what can't stand isn't stored: words that passage and item share
+                n = np.diff(off)[r]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[:-1][r], n)
+                asked = np.repeat(c, n) * len(wt) + ids[at]
+                found = words_of[np.minimum(np.searchsorted(words_of, asked), len(words_of) - 1)] == asked
+                good = np.bincount(np.repeat(np.arange(len(r)), n)[found], minlength=len(r)) >= need[c]
+                r, c = r[good], c[good]
                 if len(few):
                     # items of common words: all passages with as many of their words as a copy has
                     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
