@@ -8,8 +8,8 @@ its likelihood on labelled pages that this module writes in many layouts.
 
 Defined results: a null or empty page has an empty text; markup that is never
 closed ends with the page; scripts, styles, templates, comments and what is in
-the head are no text; repeated rows give repeated results; extra columns are
-left alone.
+the head are no text; of equally likely labellings a block is aside rather than
+content; repeated rows give repeated results; extra columns are left alone.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ Fitted on at most ``MAX_TRAIN`` rows with a language, about as many of each;
 every whole text is predicted.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so
-is every text if no row has a language; a lone language is always predicted.
+is every text if no row has a language; a lone language is always predicted; of
+equally near codewords the language first in order is taken; a null id counts as
+the empty text in the split; repeated rows are learned from and predicted as often
+as they come; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,10 +116,9 @@ def sample(docs: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
     """At most ``limit`` rows (h, text, lang), about as many of each language."""
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").count()
-    found = counts.limit(10_000).collect()  # a row a language
-    share = docs.sparkSession.createDataFrame([(r.lang, limit / len(found) / r["count"]) for r in found], "lang string, p double")
+    share = counts.select("lang", (F.lit(limit / max(1, counts.count())) / F.col("count")).alias("p"))  # a row a language
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    return known.join(F.broadcast(share), "lang").where(unit < F.col("p")).select(F.xxhash64("doc_id").alias("h"), "text", "lang").limit(limit + limit // 4)
+    return known.join(share, "lang").where(unit < F.col("p")).select(F.xxhash64("doc_id").alias("h"), "text", "lang").limit(limit + limit // 4)
 
 
 def train(rows: DataFrame) -> dict | None:

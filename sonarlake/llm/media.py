@@ -7,7 +7,7 @@ integral image, so that a target pixel may cover fractions of source pixels.
 text as an image and reads it back.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts give equal
-rows; an image that cannot be decoded gives a null tile and hash and the reason
+rows; a text of any length is one image; an image that cannot be decoded gives a null tile and hash and the reason
 in ``error``; extra columns are left alone.
 """
 
@@ -22,8 +22,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WIDTH = 64
+TILE = 8
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([0-9]+)")
 
 
@@ -123,7 +125,7 @@ def difference_hash(a: np.ndarray) -> str:
 def npy(a: np.ndarray) -> bytes:
     """The array as an NPY file."""
     f = io.BytesIO()
-    np.save(f, a, allow_pickle=False)
+    np.save(f, np.ascontiguousarray(a), allow_pickle=False)
     return f.getvalue()
 
 
@@ -150,7 +152,10 @@ def media_tiles(df: DataFrame, key: str = "id", image: str = "image", side: int
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Each text stored as an 8-bit image and read back: media, tile and digests."""
+    """Each text stored as an 8-bit image and read back: digests, difference hash and those of its NPY tile.
+
+    Texts are stored as raw PGM or, by their checksum's last bit, as BMP.
+    """
 
     def run(batches):
         for b in batches:
@@ -158,17 +163,20 @@ def text_media(docs: DataFrame) -> DataFrame:
             for t in b.column(1).to_pylist():
                 data = (t or "").encode()
                 n = len(data)
-                stored = encode_pgm(np.frombuffer(data.ljust(WIDTH * max(1, -(-n // WIDTH)), b"\0"), np.uint8).reshape(-1, WIDTH))
+                payload = np.frombuffer(data.ljust(WIDTH * max(1, -(-n // WIDTH)), b"\0"), np.uint8).reshape(-1, WIDTH)
+                form = ("pgm", "bmp")[zlib.crc32(data) & 1]
+                stored = encode_bmp(payload) if form == "bmp" else encode_pgm(payload)
                 image = decode(stored)
                 back = image.tobytes()
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                small = npy(np.rint(resize(image, TILE, TILE)).astype(np.uint8))
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), form, small))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
             cols = zip(*rows) if rows else ((),) * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "npy_tile"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, format string, npy_tile binary")
 
 
 def op5_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of ``documents`` as a stored image, read back and hashed."""
-    return text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every whole text of ``documents`` as a stored image, read back, hashed and made an NPY tile (given by its digest)."""
+    return text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("tile_sha256", F.sha2("npy_tile", 256)).drop("npy_tile")

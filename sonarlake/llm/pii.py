@@ -9,8 +9,11 @@ together. What it finds where no base span is, is added. The field is trained
 by the gradient of its likelihood on labelled sentences that this module writes.
 
 Defined results: a null or empty text has no spans; added spans never overlap
-base ones; words over ``WIDEST`` characters are never entities; extra columns
-are left alone.
+base ones, nor each other: of two that do the one that begins first stays; of
+equally good labellings the one met first in the order outside, ``KINDS`` is
+taken; a segment of several words may have ``WIDEST`` characters, in which a
+longer word counts as one; texts of any length are decoded as a whole; repeated
+rows give repeated results; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -144,46 +149,44 @@ class SemiMarkov:
     def __init__(self) -> None:
         self.x: dict[tuple, float] = {}
 
-    def segments(self, words: list[str]) -> dict[int, list[tuple[int, tuple[str, ...]]]]:
-        """By end: (start, features) of the segments that may be."""
-        out: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
-        for e in range(1, len(words) + 1):
-            for s in range(e - 1, max(-1, e - 1 - LONGEST), -1):
-                seg = tuple(words[s:e])
-                if s == e - 1 or _eligible(seg):
-                    out.setdefault(e, []).append((s, span_features(seg, words[s - 1] if s else "")))
-        return out
-
     def score(self, feats: tuple[str, ...], t: int) -> float:
         get = self.x.get
         return sum(get((f, t), 0.0) for f in feats)
 
-    def moves(self, words: list[str]) -> dict[int, list[tuple[int, int, float, tuple[str, ...]]]]:
-        out: dict[int, list[tuple[int, int, float, tuple[str, ...]]]] = {}
-        for e, segs in self.segments(words).items():
-            for s, f in segs:
-                kinds = range(len(KINDS) + 1) if _eligible(tuple(words[s:e])) else (0,)
-                for t in kinds:
-                    if t or s == e - 1:
-                        out.setdefault(e, []).append((s, t, self.score(f, t), f))
+    def moves_to(self, words: list[str], e: int) -> list[tuple[int, int, float, tuple[str, ...]]]:
+        """(start, type, score, features) of the segments that may end at e."""
+        out = []
+        for s in range(e - 1, max(-1, e - 1 - LONGEST), -1):
+            seg = tuple(words[s:e])
+            may = _eligible(seg)
+            if may or s == e - 1:
+                f = span_features(seg, words[s - 1] if s else "")
+                out += [(s, t, self.score(f, t), f) for t in (range(len(KINDS) + 1) if may else (0,)) if t or s == e - 1]
         return out
 
+    def moves(self, words: list[str]) -> dict[int, list[tuple[int, int, float, tuple[str, ...]]]]:
+        return {e: self.moves_to(words, e) for e in range(1, len(words) + 1)}
+
     def decode(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """The best (type, first word, end word), entities only."""
+        """The best (type, first word, end word), entities only; two numbers a word and type are kept."""
         n, k = len(words), len(KINDS) + 1
-        best = [[-math.inf] * k for _ in range(n + 1)]
-        back: list[list] = [[None] * k for _ in range(n + 1)]
-        best[0][0] = 0.0
-        for e, moves in sorted(self.moves(words).items()):
-            for s, t, v, _ in moves:
-                for p in range(k):
-                    x = best[s][p] + v + self.x.get((p, t), 0.0)
-                    if x > best[e][t]:
-                        best[e][t], back[e][t] = x, (s, p)
+        start, kind = np.zeros((n + 1, k), np.int32), np.zeros((n + 1, k), np.int8)
+        step = [[self.x.get((p, t), 0.0) for p in range(k)] for t in range(k)]
+        best = {0: [0.0] + [-math.inf] * (k - 1)}
+        for e in range(1, n + 1):
+            here = [-math.inf] * k
+            for s, t, v, _ in self.moves_to(words, e):
+                for p, (b, tr) in enumerate(zip(best[s], step[t])):
+                    x = b + v + tr
+                    if x > here[t]:
+                        here[t] = x
+                        start[e, t], kind[e, t] = s, p
+            best[e] = here
+            best.pop(e - LONGEST - 1, None)
         out, e = [], n
         t = max(range(k), key=lambda q: best[n][q])
         while e > 0:
-            s, p = back[e][t]
+            s, p = int(start[e, t]), int(kind[e, t])
             if t:
                 out.append((t, s, e))
             e, t = s, p
@@ -294,10 +297,12 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkov)
     """What the field finds apart from base spans."""
     toks = [m.span() for m in _WORD.finditer(text)]
     hot = [k for k, (s, e) in enumerate(toks) if _HOT.search(text, s, e) or text[s:e] == "dot"]
-    out, taken, i = [], sorted((s, e) for _, s, e in base), 0
+    out, i = [], 0
+    taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     while i < len(hot):
         j = i
-        while j + 1 < len(hot) and hot[j + 1] - hot[j] <= LONGEST and hot[j + 1] - hot[i] < 400:
+        while j + 1 < len(hot) and hot[j + 1] - hot[j] <= LONGEST:
             j += 1
         lo, hi = max(0, hot[i] - 4), min(len(toks), hot[j] + 5)
         part = toks[lo:hi]
@@ -310,11 +315,10 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkov)
             if e > s:
                 out.append((t - 1, s, e))
         i = j + 1
-    free, k, last = [], 0, -1
+    free, last = [], -1
     for t, s, e in sorted(set(out), key=lambda x: x[1:]):
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if s >= last and not any(a < e and s < b for a, b in taken[k : k + 8]):
+        before = bisect_left(starts, e)  # base spans that begin before this one ends
+        if s >= last and not (before and reach[before - 1] > s):
             free.append((t, s, e))
             last = e
     return free

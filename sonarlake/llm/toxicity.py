@@ -10,8 +10,10 @@ of a hash of their id; scoring takes every whole text.
 
 Defined results: a null or empty text has no features and gets the intercept's
 score; rows without a label are not learned from; a repeated label of one
-document counts once, the larger value; without any label every score is 0;
-extra columns are left alone.
+document counts once, the larger value; without any label every score is 0; a null
+id is never learned from and counts as the empty text in the split; rows of equal
+hash are learned in the order of label and text; a score of exactly 0.5 is toxic;
+repeated rows give repeated scores; extra columns are left alone.
 """
 
 from __future__ import annotations

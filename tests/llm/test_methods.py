@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -91,6 +92,134 @@ def test_semi_markov_decoding():
         assert field.decode(words) == best_by_hand(field, words)
 
 
+def labellings(field, words):
+    """(score, entities, features used) of every way to cut and label a sentence, one by one."""
+    moves = field.moves(words)
+
+    def from_(at, last):
+        if at == len(words):
+            yield 0.0, [], []
+        for e in range(at + 1, len(words) + 1):
+            for s, t, v, f in moves[e]:
+                if s == at:
+                    for x, found, used in from_(e, t):
+                        yield v + field.x.get((last, t), 0.0) + x, ([(t, s, e)] if t else []) + found, [(last, t), *((name, t) for name in f), *used]
+
+    return list(from_(0, 0))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_semi_markov_against_every_labelling(seed):
+    """Decoding and the gradient of the likelihood, by enumeration."""
+    rng = random.Random(seed)
+    words = ["call", *rng.choice([["+1", "(555)", "123-4567"], ["a@b.com"], ["x", "at", "y", "dot", "com"], ["4111", "1111"]]), rng.choice(["now", "77", "k=5"])]
+    field = pii.SemiMarkov()
+    every = labellings(field, words)
+    field.x = {key: rng.uniform(-1, 1) for key in {key for _, _, used in every for key in used}}
+    every = labellings(field, words)
+    best = max(every, key=lambda x: x[0])
+    assert field.decode(words) == best[1]
+    gold = rng.choice(every)
+    weight = np.exp([x - best[0] for x, _, _ in every])
+    want = dict.fromkeys(field.x, 0.0)
+    for p, (_, _, used) in zip(weight / weight.sum(), every):
+        for key in used:
+            want[key] -= p
+    for key in gold[2]:
+        want[key] += 1
+    before = dict(field.x)
+    field.learn(words, gold[1], 1.0)
+    for key, g in want.items():
+        assert field.x[key] == pytest.approx(0.999 * before[key] + g, abs=2e-5) or field.x[key] == pytest.approx(before[key] + g, abs=2e-5)
+
+
+def test_entities_are_found_anywhere_in_a_long_row_of_hot_words():
+    """Nothing is cut: an entity after hundreds of words with digits, and one beside many base spans."""
+    field = pii.trained()
+    text = " ".join(["7"] * 395 + ["bob", "at", "mail", "dot", "example", "dot", "com"] + ["7"] * 300)
+    spans = [text[s:e] for t, s, e in pii.added_spans(text, [], field) if t == 0]
+    assert any("bob at mail dot example" in x for x in spans)
+    text = " ".join(f"a{k}@b.co" for k in range(30)) + " password=0123456789abcdef0"
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base, field)
+    assert all(e <= a or s >= b for _, s, e in added for _, a, b in base)
+
+
+def test_chain_gradient_against_every_labelling():
+    rng = np.random.default_rng(2)
+    feats = [["bias", "a"], ["bias"], ["bias", "b", "a"], ["bias", "c"]]
+    chain = html.Chain()
+    chain.x = {f: rng.normal(size=2) for f in "abc"} | {"bias": rng.normal(size=2)}
+    chain.tr = rng.normal(size=(2, 2))
+    score = lambda ys, x, tr: sum(x[f][y] for fs, y in zip(feats, ys) for f in fs) + sum(tr[a, b] for a, b in zip(ys, ys[1:]))
+    every = [[(m >> k) & 1 for k in range(4)] for m in range(16)]
+    gold = [0, 1, 1, 0]
+    like = lambda x, tr: score(gold, x, tr) - np.log(sum(np.exp(score(ys, x, tr)) for ys in every))
+    old, tr, tiny = {f: v.copy() for f, v in chain.x.items()}, chain.tr.copy(), 1e-5
+    want = np.zeros((2, 2))
+    for i in range(2):
+        for j in range(2):
+            up, down = tr.copy(), tr.copy()
+            up[i, j] += tiny
+            down[i, j] -= tiny
+            want[i, j] = (like(old, up) - like(old, down)) / (2 * tiny)
+    rate = 1e-3
+    chain.learn(feats, gold, rate)
+    np.testing.assert_allclose((chain.tr - 0.999 * tr) / rate, want, atol=1e-6)
+    for f in old:
+        g = [(like(old | {f: old[f] + tiny * np.eye(2)[y]}, tr) - like(old | {f: old[f] - tiny * np.eye(2)[y]}, tr)) / (2 * tiny) for y in range(2)]
+        n = sum(fs.count(f) for fs in feats)
+        np.testing.assert_allclose((chain.x[f] - 0.9995**n * old[f]) / rate, g, atol=5e-3)
+
+
+def test_ftrl_against_a_plain_version():
+    """The same weights as the published per-coordinate rule, one coordinate at a time."""
+    rng = random.Random(1)
+    model = toxicity.Ftrl(31)
+    z, n = [0.0] * 31, [0.0] * 31
+
+    def weight(i):
+        l1 = 0.0 if i == 30 else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(600):
+        f = sorted(rng.sample(range(30), rng.randint(1, 8)))
+        y = int(f[0] < 4)
+        model.learn(np.array(f), y)
+        p = 1 / (1 + math.exp(-sum(map(weight, [*f, 30]))))
+        for i in [*f, 30]:
+            g, x = p - y, weight(i)
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - sigma * x
+            n[i] += g * g
+    np.testing.assert_allclose(model.weights(np.arange(31)), [weight(i) for i in range(31)], atol=1e-9)
+    assert any(weight(i) for i in range(30)) and any(not weight(i) for i in range(30))
+
+
+def test_media_query_against_plain_digests(spark):
+    """Every column recomputed from the text with hashlib, zlib and numpy."""
+    import hashlib
+
+    got = {r.doc_id: r for r in media.op5_media_tiles(spark, SF).collect()}
+    forms = set()
+    for doc_id, text in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall():
+        raw, r = (text or "").encode(), got[doc_id]
+        payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        a = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        stored = {"pgm": media.encode_pgm, "bmp": media.encode_bmp}[r.format](a)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and stored[:2] == (b"P5" if r.format == "pgm" else b"BM")
+        # each cell of the tile by whole fine pixels: every source pixel repeated eight times down
+        fine = np.repeat(a.astype(float), 8, axis=0).reshape(8, len(a), 8, 8).mean(axis=(1, 3))
+        tile = media.npy(np.rint(fine).astype(np.uint8))
+        near = np.abs(fine - np.rint(fine))
+        assert r.tile_sha256 == hashlib.sha256(tile).hexdigest() or (near > 0.499).any()
+        forms.add(r.format)
+    assert forms == {"pgm", "bmp"}
+
+
 def test_pages_held_out():
     x, tr = html.trained()
     right = total = 0
