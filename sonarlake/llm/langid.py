@@ -34,6 +34,7 @@ SIZE = 8192
 MAX_TRAIN = 4000
 STEPS = 120
 AMBIGUOUS = 0.2
+MOST_LANGS = 100_000  # rows of two columns that are broadcast; more are joined by a shuffle
 
 _LETTER = np.full(256, 32, np.uint8)
 for _b in [*range(65, 91), *range(97, 123), *range(128, 256)]:
@@ -116,7 +117,9 @@ def sample(docs: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
     """At most ``limit`` rows (h, text, lang), about as many of each language."""
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").count()
-    share = counts.select("lang", (F.lit(limit / max(1, counts.count())) / F.col("count")).alias("p"))  # a row a language
+    langs = counts.count()
+    share = counts.select("lang", (F.lit(limit / max(1, langs)) / F.col("count")).alias("p"))  # a row a language
+    share = F.broadcast(share) if langs <= MOST_LANGS else share
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     return known.join(share, "lang").where(unit < F.col("p")).select(F.xxhash64("doc_id").alias("h"), "text", "lang").limit(limit + limit // 4)
 
