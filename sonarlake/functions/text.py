@@ -35,13 +35,21 @@ def _summary(values: Column, total: Column) -> list[Column]:
 
 
 def text_stats(c: Column) -> list[Column]:
-    """The seven metrics of a speaker's whole text; 0 where there is nothing."""
-    parts = sentence_words(c)
-    lens = F.transform(F.flatten(parts), F.length)
-    ended = F.filter(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.size(p)), lambda n: n > 0)
+    """The seven metrics of a speaker's whole text; 0 where there is nothing.
+
+    A generator of one row: the text is cleaned and split once, its lengths are taken once.
+    """
     add = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
-    out = [F.size(lens).cast("long"), *_summary(lens, add(lens)), *_summary(ended, add(ended))]
-    return [x.alias(name) for x, name in zip(out, STATS)]
+
+    def lengths(parts: Column) -> Column:
+        ended = F.filter(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.size(p)), lambda n: n > 0)
+        return F.struct(F.transform(F.flatten(parts), F.length).alias("lens"), ended.alias("ended"))
+
+    def metrics(v: Column) -> Column:
+        out = [F.size(v["lens"]).cast("long"), *_summary(v["lens"], add(v["lens"])), *_summary(v["ended"], add(v["ended"]))]
+        return F.struct(*(x.alias(name) for x, name in zip(out, STATS)))
+
+    return [F.inline(F.transform(F.transform(F.array(sentence_words(c)), lengths), metrics))]
 
 
 def is_complete(segments: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,7 +72,9 @@ def mixed(notes: DataFrame, version: int, rate: int = RATE, noise_seed: int | No
     tone = _tone(version, F.col("hz"), t)
     if noise_seed is not None and version == 2:
         w = Window.partitionBy("seq").orderBy("k")
-        each = each.withColumn("white", F.randn(noise_seed) * NOISE)
+        # a normal variate of the sample's own place, so that a seed fixes the sound however rows are spread
+        unit = lambda j: (F.shiftrightunsigned(F.xxhash64(F.lit(noise_seed), "seq", "k", F.lit(j)), 11) + 1) / F.lit(float(1 << 53))
+        each = each.withColumn("white", F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * math.pi * unit(1)) * NOISE)
         each = each.withColumn("breath", F.col("white") - F.coalesce(F.lag("white").over(w), F.lit(0.0)))
         tone = tone + F.col("breath")
     summed = each.select((F.col("first") + F.col("k")).alias("idx"), (tone * env * F.col("loud")).alias("y")).groupBy("idx").agg(F.sum("y").alias("y"))

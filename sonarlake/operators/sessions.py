@@ -132,6 +132,6 @@ def gap_sessions(df: DataFrame, key: str, at: Column, order: list[str], gap: flo
     return df.withColumn("_new", F.coalesce(new, F.lit(0).cast("long"))).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def first_match(df: DataFrame, name: str, wanted: str, default: str) -> DataFrame:
-    """The first name that contains ``wanted``, or ``default``; one row."""
-    return df.where(F.contains(F.col(name), F.lit(wanted))).agg(F.coalesce(F.min(name), F.lit(default)).alias("chosen"))
+def first_match(df: DataFrame, name: str, wanted: str, default: str, order: str) -> DataFrame:
+    """The first name by ``order`` that contains ``wanted``, or ``default``; one row."""
+    return df.where(F.contains(F.col(name), F.lit(wanted))).agg(F.coalesce(F.min_by(name, order), F.lit(default)).alias("chosen"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import sessions as ss
 from ..sources import audio
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 SPACE = r"[\s\p{Z}\x{85}]"
 
@@ -83,7 +83,7 @@ def complete_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_complete(segments).alias("complete"))
 
 
-@query("chat_prompts")
+@query("chat_prompts", f"""select conv_id, cast(to_json([{{'role': 'system', 'content': 'Find the most poetic phrase.'}}, {{'role': 'user', 'content': log}}]) as varchar) as messages from ({ORACLES['utterance_log']})""")
 def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's log as a two-message prompt."""
     return utterance_log(spark, sf_dir).select("conv_id", tx.chat_prompt("Find the most poetic phrase.", F.col("log")).alias("messages"))
@@ -181,10 +181,10 @@ def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.listed(spark.createDataFrame([(p,) for p in PATHS], "path string"))
 
 
-@query("device_choice", "select coalesce(min(n_name) filter (contains(n_name, 'AN')), 'default') as chosen from nation")
+@query("device_choice", "select coalesce(arg_min(n_name, n_nationkey) filter (contains(n_name, 'AN')), 'default') as chosen from nation")
 def device_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first name that fits, or a default; nations stand in for devices."""
-    return ss.first_match(table(spark, sf_dir, "nation"), "n_name", "AN", "default")
+    return ss.first_match(table(spark, sf_dir, "nation"), "n_name", "AN", "default", "n_nationkey")
 
 
 @query("guest_names", "select o_orderkey, coalesce(case when o_orderstatus = 'O' then o_orderstatus end, 'Guest-' || o_custkey) as speaker from orders")

@@ -6,6 +6,7 @@ Speech-to-text and language models are functions that the caller passes in.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import STATS
 from ..operators.sessions import GAP, LEAST, MOST, TOKENS, Flush, TokenWindow
 
 
@@ -123,7 +125,36 @@ def transcribed(chunks: DataFrame, model: Callable[[bytes], str]) -> DataFrame:
     return chunks.withColumn("_t", run("pcm")).select(*chunks.columns, "_t.text", "_t.error")
 
 
-def running_stats(words: DataFrame) -> DataFrame:
-    """Running counts per speaker of a stream (key, text): sums, not lists, so state stays small."""
-    flat = words.select("key", F.explode(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")).alias("w"))
-    return flat.groupBy("key").agg(F.count("*").alias("word_count"), F.avg(F.length("w")).alias("avg_word_len"), F.min(F.length("w")).alias("min_word_len"), F.max(F.length("w")).alias("max_word_len"))
+class StatsProcessor(StatefulProcessor):
+    """The seven metrics of each speaker so far; a sentence goes on from one utterance to the next.
+
+    State is nine numbers: words, letters, shortest, longest; sentences, their words,
+    shortest, longest; and the words of the sentence that is not ended.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("stats", ", ".join(f"v{k} long" for k in range(9)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, letters, short, long_, ends, total, few, many, now = self.state.get() if self.state.exists() else (0,) * 9
+        for text in pd.concat(list(rows)).sort_values("seq")["text"]:
+            for part in re.split(r"([.!?])", re.sub(r"[^\w\s.!?]", "", text or "")):
+                if part in (".", "!", "?"):
+                    if now:
+                        few, many = (min(few, now), max(many, now)) if ends else (now, now)
+                        ends, total, now = ends + 1, total + now, 0
+                    continue
+                for w in part.split():
+                    short, long_ = (min(short, len(w)), max(long_, len(w))) if n else (len(w), len(w))
+                    n, letters, now = n + 1, letters + len(w), now + 1
+        self.state.update(tuple(map(int, (n, letters, short, long_, ends, total, few, many, now))))
+        yield pd.DataFrame([(key[0], n, round(letters / n, 6) if n else 0.0, short, long_, round(total / ends, 6) if ends else 0.0, few, many)], columns=["key", *STATS])
+
+    def close(self) -> None:
+        pass
+
+
+def running_stats(texts: DataFrame) -> DataFrame:
+    """A stream (key, the seven metrics so far) from a stream (key, seq, text), a row for each speaker heard in a batch."""
+    schema = "key string, word_count long, avg_word_len double, min_word_len int, max_word_len int, avg_words_per_sentence double, min_words_per_sentence int, max_words_per_sentence int"
+    return texts.groupBy("key").transformWithStateInPandas(StatsProcessor(), schema, "Update", "None")

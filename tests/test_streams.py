@@ -45,3 +45,25 @@ def test_silence_goes_before_the_model(spark):
         raise RuntimeError("no model")
 
     assert speech.transcribed(df, broken).where("error is null").count() == 0
+
+
+def test_running_statistics_equal_those_of_the_whole_text(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from sonarlake.functions import text as tx
+
+    rows = [("a", 0, "Hi ... there, don't!"), ("a", 1, "this goes"), ("b", 2, "One. Two three"), ("a", 3, "on. and on? yes"), ("b", 4, "four!"), ("c", 5, "...")]
+    for k, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, "key string, seq long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    texts = spark.readStream.schema("key string, seq long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = speech.running_stats(texts).writeStream.format("memory").queryName("stats").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert not q.exception()
+    got = {}
+    for r in spark.table("stats").collect():
+        if r.key not in got or r.word_count >= got[r.key].word_count:
+            got[r.key] = r
+    assert set(got) == {"a", "b", "c"}
+    whole = spark.createDataFrame([(k, " ".join(t for key, _, t in rows if key == k)) for k in "abc"], "key string, s string")
+    for r in whole.select("key", *tx.text_stats(F.col("s"))).collect():
+        assert tuple(got[r.key]) == tuple(r), r.key
+    assert got["a"].word_count == 9 and got["a"].max_words_per_sentence == 3  # "this goes on", over two batches
