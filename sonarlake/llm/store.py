@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BITS = 1 << 28
+BATCH_BYTES = 4 << 20
 _written: dict[str, list[str]] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _fallback: list[str] = []
@@ -106,11 +107,17 @@ def _release_all(spark: SparkSession) -> None:
             release(spark, scope)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let an Arrow batch hold about ``BATCH_BYTES`` (or one row, if that is more), whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def tidy(name: str, query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query with its stored tables in a group of its own, deleted when it is next asked for or the process ends."""
 
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         release(spark, name)
         with scoped(name):
             return query(spark, sf_dir)
