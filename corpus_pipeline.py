@@ -15,7 +15,7 @@ from sonarlake.llm.decontaminate import found_leaks
 from sonarlake.llm.lines import line_dedup
 from sonarlake.llm.neardup import classes
 from sonarlake.llm.packing import pack_documents
-from sonarlake.llm.store import fresh, materialise, release, scoped
+from sonarlake.llm.store import fresh, materialise, release, scoped, small_batches
 from sonarlake.llm.toxicity import labelled_sample, train, without_toxic
 
 ORACLE_SQL = None
@@ -37,6 +37,7 @@ def _without_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; a null or empty text stays."""
+    small_batches(spark)
     release(spark, "pipeline")
     with scoped("pipeline"):
         return without_toxic(docs, train(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
