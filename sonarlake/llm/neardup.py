@@ -15,6 +15,11 @@ those whose exact Jaccard similarity is high enough make draft classes. Then
 every list gives all its close pairs of unlike classes, none left out, so a
 crowd of near copies is not paired with itself but no link between classes is
 lost. They are compared by the least ``SKETCH`` shingle hashes, then exactly.
+Of a row with more than ``CROWD`` such partners in a list no pair is written:
+rows so joined, directly or through others, are one crowd, whose shingle sets
+are brought together and compared there, in blocks. An edited copy whose shingles
+mostly occur nowhere else in its crowd is near nothing in it, which its count of
+shared ones tells exactly.
 Texts of at most ``SHORT`` shingles, whose fingerprints vary most, are also found
 exactly, by equality of their sets but for one shingle. Classes are components.
 
@@ -56,6 +61,8 @@ RECALL = 0.9995
 LEAF = 4096
 SPLIT = 400_000
 NEAREST = 3
+CROWD = 8
+ROOM = 2_000_000  # shingles of a block of a crowd
 SHORT = 9
 
 _SPREAD = np.zeros(256, np.uint64)  # bit k of a byte in byte k
@@ -269,16 +276,17 @@ def close_pairs(f: np.ndarray, n: np.ndarray, label: np.ndarray | None, part: np
     one label is not compared with itself. Without, each row's NEAREST later
     partners. With parts, only pairs of unlike parts.
     """
-    for s in range(0, len(f), 256):
-        e = min(s + 256, len(f))
+    step = min(64, max(16, len(f) // 8))  # small blocks stay in the processor's cache
+    for s in range(0, len(f), step):
+        e = min(s + step, len(f))
         lo, hi, dist = [], [], []
         first = s
         if label is not None and label[s] == label[e - 1]:
             first = int(np.searchsorted(label, label[s], "right"))  # nothing before it is of another label and later
-        for c in range(first, len(f), 8192):
-            d = np.bitwise_count(f[s:e, None, 0] ^ f[None, c : c + 8192, 0])
-            d += np.bitwise_count(f[s:e, None, 1] ^ f[None, c : c + 8192, 1])
-            i, j = np.nonzero(d <= RADIUS)
+        for c in range(first, len(f), 1024):
+            d = np.bitwise_count(f[s:e, None, 0] ^ f[None, c : c + 1024, 0])
+            d += np.bitwise_count(f[s:e, None, 1] ^ f[None, c : c + 1024, 1])
+            i, j = np.divmod(np.flatnonzero(d <= RADIUS), d.shape[1])
             v = d[i, j]
             i, j = i + s, j + c
             keep = (j > i) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]))
@@ -344,8 +352,12 @@ def crowded(nodes: DataFrame, plan: Plan, split: int = SPLIT) -> dict[int, int]:
     return {r["list"]: -(-r["count"] // split) for r in sizes.toLocalIterator()}
 
 
-def candidates(nodes: DataFrame, plan: Plan, labelled: bool, split: int = SPLIT) -> DataFrame:
-    """(a, b, d): close pairs with a < b; of unlike labels, or each node's nearest ones in every list."""
+def candidates(nodes: DataFrame, plan: Plan, labelled: bool, split: int = SPLIT, most: int | None = None) -> DataFrame:
+    """(a, b, d): close pairs with a < b; of unlike labels, or each node's nearest ones in every list.
+
+    Where a node has more than ``most`` later partners in a list, it and they are
+    joined by a tree of rows with d = -1 in place of these pairs, for :func:`crowd_links`.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         at, i, j = (x.as_py() for x in key)
@@ -355,21 +367,100 @@ def candidates(nodes: DataFrame, plan: Plan, labelled: bool, split: int = SPLIT)
         f = np.stack([t[c].to_numpy()[order].view(np.uint64) for c in ("f0", "f1")], axis=1)
         part = t["part"].to_numpy()[order] if i != j else None
         a, b, d = [], [], []
+        up = np.arange(len(node))
         for x, y, v in search(f, n, at, at // plan.count**plan.spread, plan.spread, plan, label if labelled else None, part):
-            x, y = node[x], node[y]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-            d.append(v.astype(np.int32))
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "d": cat(d, np.int32)})
-
-    members = lists(nodes, plan).withColumn("part", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+            if most is not None and len(x) > most:
+                _, where, count = np.unique(x, return_inverse=True, return_counts=True)
+                over = count[where] > most
+                for hub in np.unique(x[over]):
+                    gather(up, np.append(y[x == hub], hub))
+                x, y, v = x[~over], y[~over], v[~over]
+            a.append(x)
+            b.append(y)
+            d.append(v)
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        alone = (up[a] != up[b]) | (most is None)  # pairs of one crowd are compared with it
+        low = np.flatnonzero(up != np.arange(len(up)))
+        a, b = node[np.concatenate([a[alone], low])], node[np.concatenate([b[alone], up[low]])]
+        d = np.concatenate([np.concatenate([np.zeros(0, np.int32), *d])[alone], np.full(len(low), -1)]).astype(np.int32)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d})
+
     many = crowded(nodes, plan, split) if nodes.count() > split else {}  # no list is longer than the table
-    if many:
-        cut = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("list")], F.lit(1))
-        members = members.withColumn("part", F.pmod(F.xxhash64("node"), cut).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), (cut - 1).cast("int"))))
-        members = members.withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o")).drop("o")
-    return members.groupBy("list", "i", "j").applyInArrow(run, "a long, b long, d int").distinct()
+    return in_blocks(lists(nodes, plan), many).groupBy("list", "i", "j").applyInArrow(run, "a long, b long, d int").distinct()
+
+
+def gather(up: np.ndarray, rows: np.ndarray) -> None:
+    """Make the trees of these rows one; ``up`` leads from a row to its root in the end."""
+    top = up[rows]
+    while (up[top] != top).any():
+        top = up[top]
+    up[top] = up[rows] = top.min()
+
+
+def in_blocks(members: DataFrame, many: dict[int, int]) -> DataFrame:
+    """``members`` with their ``part`` of a list that ``many`` cuts, once for each pair (i, j) of parts that it is in."""
+    if not many:
+        return members.withColumn("part", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    cut = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("list")], F.lit(1))
+    members = members.withColumn("part", F.pmod(F.xxhash64("node"), cut).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), (cut - 1).cast("int"))))
+    return members.withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o")).drop("o")
+
+
+def similar_pairs(f: np.ndarray, n: np.ndarray, label: np.ndarray, part: np.ndarray | None, ids: np.ndarray, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (i, j): of all close pairs of unlike labels those of that exact Jaccard similarity.
+
+    ``ids`` are the rows' sets of hashes one after the other. Two sets have no more
+    in common than either has in common with all the others, so most pairs
+    of edited copies are told unlike by two counts.
+    """
+    ids, count = np.unique(ids, return_inverse=True, return_counts=True)[1:]
+    off = np.concatenate([[0], np.cumsum(n)])
+    known = np.concatenate([[0], np.cumsum(count[ids] > 1)])
+    known = known[off[1:]] - known[off[:-1]]
+    mark = np.zeros(len(count), bool)
+    for x, y, _ in close_pairs(f, n, label, part):
+        # o in J = o / (n + n' - o), a hair less for rounding
+        need = similarity / (1 + similarity) * (n[x] + n[y]) - 1e-6
+        keep = np.minimum(known[x], known[y]) >= need
+        x, y, need = x[keep], y[keep], need[keep]
+        found = np.zeros(len(x), bool)
+        for i in np.unique(x):
+            at = np.flatnonzero(x == i)
+            mark[ids[off[i] : off[i + 1]]] = True
+            shared = np.array([np.count_nonzero(mark[ids[off[j] : off[j + 1]]]) for j in y[at]])
+            mark[ids[off[i] : off[i + 1]]] = False
+            found[at] = shared >= need[at]
+        if found.any():
+            yield x[found], y[found]
+
+
+def crowd_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, room: int = ROOM) -> DataFrame:
+    """(a, b) with a < b: similar pairs of unlike labels in one crowd (``list``), in each task one for each two labels.
+
+    ``sets`` (node, s) are the shingle sets; a crowd of more than ``room`` shingles
+    is cut into blocks, each pair of which is a task.
+    """
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        node, n, label = (t[c].to_numpy() for c in ("node", "n", "label"))
+        order = np.lexsort((node, label))
+        node, n, label = node[order], n[order].astype(np.int64), label[order]
+        f = np.stack([t[c].to_numpy()[order].view(np.uint64) for c in ("f0", "f1")], axis=1)
+        part = t["part"].to_numpy()[order] if key[1].as_py() != key[2].as_py() else None
+        ids = pc.list_flatten(t["s"].combine_chunks().take(pa.array(order))).to_numpy()
+        links: dict[tuple, tuple] = {}
+        for x, y in similar_pairs(f, n, label, part, ids, similarity):
+            for i, j in zip(x.tolist(), y.tolist()):
+                links.setdefault((label[i], label[j]), (min(node[i], node[j]), max(node[i], node[j])))
+        a, b = np.array(list(links.values()), np.int64).reshape(-1, 2).T
+        return pa.table({"a": a.copy(), "b": b.copy()})
+
+    sizes = nodes.groupBy("list").agg(F.sum("n").alias("c")).where(F.col("c") > room)
+    many = {r["list"]: -(-r["c"] // room) for r in sizes.toLocalIterator()}
+    members = in_blocks(nodes.select("list", "node", "n", "f0", "f1", "label"), many).join(sets, "node")
+    return members.groupBy("list", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -421,9 +512,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     depth = depth_for(some.count(), survival(p)[0]) if leaf is None else leaf
     plan = planned(p, recall, depth)
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return materialise(shingle_sets(docs, nodes.select("node", "least").join(ids, "node", "left_semi")), "near-sets")
+
     def checked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = materialise(shingle_sets(docs, nodes.select("node", "least").join(ids, "node", "left_semi")), "near-sets")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         found = materialise(verified(pairs, sets, similarity), "near-true")
         discard(sets, pairs)
         return found
@@ -439,8 +532,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     # all lists, all pairs of unlike classes
     named = some.join(label.select("node", F.col("class").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named.select("node", "n", "f0", "f1", "label"), "near-named")
-    rest = materialise(candidates(named, plan, True).join(draft.select("a", "b"), ["a", "b"], "left_anti"), "near-candidates")
-    links = materialise(links.unionByName(checked(materialise(likely(rest, some), "near-likely"))), "near-links")
+    close = materialise(candidates(named, plan, True, most=CROWD), "near-candidates")
+    rest = close.where("d >= 0").join(draft.select("a", "b"), ["a", "b"], "left_anti")
+    found = checked(materialise(likely(rest, some), "near-likely"))
+    trees = close.where("d < 0")
+    if not trees.isEmpty():
+        crowd = materialise(named.join(components(trees).withColumnRenamed("class", "list"), "node"), "near-crowd")
+        sets = sets_of(crowd.select("node"))
+        found = found.unionByName(materialise(crowd_links(crowd, sets, similarity), "near-true"))
+        discard(sets, crowd)
+    links = materialise(links.unionByName(found).distinct(), "near-links")
     label = components(links)
     last = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node").alias("node"))
     known = nodes.select("node", "least").join(label, "node", "left")

@@ -476,6 +476,43 @@ def test_labels_leave_out_no_pair_of_unlike_ones():
     assert few <= neardup.NEAREST * 1500
 
 
+def test_a_crowd_of_edited_copies_is_compared_without_writing_its_pairs(spark):
+    """Pairs of a crowd grow with its square, what is written for it by its rows; its classes stay those of all pairs."""
+    p, n = neardup.bit_difference(0.8), 400
+    rng = np.random.default_rng(4)
+    f = rng.integers(0, 2**63, (1, 2), dtype=np.int64).view(np.uint64) ^ np.packbits(rng.random((n, 128)) < 0.08, axis=1).view(np.uint64)
+    plan = neardup.planned(p, 0.9995, 1)
+    every = {(r.a, r.b) for r in neardup.candidates(as_nodes(spark, f), plan, True).collect()}
+    rows = neardup.candidates(as_nodes(spark, f), plan, True, most=neardup.CROWD).collect()
+    assert len(every) > 0.9 * n * (n - 1) / 2 and len(rows) < len(every) / 4
+    trees = [(r.a, r.b) for r in rows if r.d < 0]
+    crowd = {r.node: r["class"] for r in graph.components(spark.createDataFrame(trees, "a long, b long")).collect()}
+    alone = {(r.a, r.b) for r in rows if r.d >= 0}
+    assert alone <= every and all((a, b) in alone or (a in crowd and crowd[a] == crowd.get(b)) for a, b in every)
+
+
+def test_pairs_of_a_crowd_are_those_of_an_exact_search(spark):
+    rng = random.Random(8)
+    base = words_of(rng, 150)
+    texts = {" ".join(base)}
+    while len(texts) < 120:
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(len(copy))] = "x" + words_of(rng, 1)[0]
+        texts.add(" ".join(copy))
+    docs = list(enumerate(sorted(texts)))
+    sig = neardup.signatures(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    sets = {r.node: next(neardup.shingles(pa.array([docs[r.doc_id][1]]))).view(np.int64).tolist() for r in sig}
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert 0 < len(want) < len(sets) * (len(sets) - 1) / 2
+    nodes = spark.createDataFrame([(0, r.node, r.n, r.f0, r.f1, r.node) for r in sig], "list long, node long, n int, f0 long, f1 long, label long")
+    stored = spark.createDataFrame(list(sets.items()), "node long, s array<long>")
+    for room in (neardup.ROOM, 2000):  # whole, and in blocks
+        assert {(r.a, r.b) for r in neardup.crowd_links(nodes, stored, room=room).collect()} == want
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == plain_classes(docs)
+
+
 def test_short_texts_one_shingle_apart_are_all_found(spark):
     rng = random.Random(6)
     docs = []
