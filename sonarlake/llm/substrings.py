@@ -11,7 +11,9 @@ and a join stands if the exact Jaccard similarity of the five-word shingles is
 high enough, or, for paragraphs with few shingles, if the words' edit distance is
 small. Each node of a bucket is first held against the bucket's least one; then
 all pairs of a bucket whose classes are still unlike, in blocks, so that neither
-a crowd of copies is paired with itself nor a pair of a crowd left out. Pairs of
+a crowd of copies is paired with itself nor a pair of a crowd left out; of a bucket
+of more than ``CROWD`` nodes the pairs aren't written, but compared where its
+paragraphs are brought together. Pairs of
 short paragraphs one word apart are found exactly, by what is left of them without
 one word; only those are looked at of which half the words begin or end another. Nodes joined directly or through others are one class; all but its
 first paragraph (by doc_id, then text and place; null ids last) are removals.
@@ -30,6 +32,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -47,6 +50,7 @@ COLLIDE = 0.98
 FEW = 12
 EDITS = 0.1
 BLOCK = 64
+CROWD = 64
 
 
 def tuned(similarity: float = SIMILARITY, collide: float = COLLIDE, most: int = 4) -> tuple[int, int]:
@@ -250,15 +254,20 @@ def to_heads(members: DataFrame) -> DataFrame:
     return members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
 
 
+def unlike(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, v, head, c, l) of the buckets in which there are several classes (l), without their least nodes."""
+    named = members.where("c > 2").join(label.select(F.col("node").alias("key"), "class"), "key", "left").withColumn("l", F.coalesce("class", "key"))
+    open_ = named.groupBy("v").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("v")
+    return named.where("key <> head").join(open_, "v", "left_semi")
+
+
 def across(members: DataFrame, label: DataFrame) -> DataFrame:
     """(a, b) with a < b: pairs of one bucket whose classes are unlike, but for those with the least node.
 
     A bucket is cut into blocks of about ``BLOCK`` nodes; each pair of blocks is a row,
     so that no task holds a crowd. A bucket of one class gives nothing.
     """
-    named = members.where("c > 2").join(label.select(F.col("node").alias("key"), "class"), "key", "left").withColumn("l", F.coalesce("class", "key"))
-    open_ = named.groupBy("v").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("v")
-    named = named.where("key <> head").join(open_, "v", "left_semi").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    named = unlike(members, label).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     block = named.withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).groupBy("v", "blocks", "i").agg(F.collect_list(F.struct("l", "key")).alias("x"))
     block = materialise(block, "para-blocks")
     left = block.select("v", F.col("x").alias("p"), F.col("i"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
@@ -267,6 +276,68 @@ def across(members: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.select(F.least("s.key", "t.key").alias("a"), F.greatest("s.key", "t.key").alias("b")).distinct()
 
 
+def alike(label: np.ndarray, part: np.ndarray | None, s: pa.ListArray, h: pa.ListArray, similarity: float = SIMILARITY) -> Iterable[tuple[int, int]]:
+    """(i, j) with i < j that :func:`joined` would keep, of unlike labels (which must be in order) and, if given, unlike parts.
+
+    A word that the other lacks costs an edit, so counts of words in common spare most edit distances.
+    """
+    ns, nh = (pc.list_value_length(x).to_numpy().astype(np.int64) for x in (s, h))
+    words = [np.unique(x) for x in np.split(pc.list_flatten(h).to_numpy(), np.cumsum(nh)[:-1])]
+    nw = np.array([len(x) for x in words])
+    sides = []
+    for flat, n in ((pc.list_flatten(s).to_numpy(), ns), (np.concatenate(words), nw)):
+        kinds, ids = np.unique(flat, return_inverse=True)
+        sides.append((ids, np.concatenate([[0], np.cumsum(n)]), np.zeros(len(kinds), np.int32)))
+
+    def common(i: int, first: int, ids: np.ndarray, off: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        own = ids[off[i] : off[i + 1]]
+        mark[own] = 1
+        out = np.add.reduceat(mark[ids[off[first] :]], off[first:-1] - off[first])
+        mark[own] = 0
+        return out
+
+    for i in range(len(label)):
+        first = int(np.searchsorted(label, label[i], "right"))
+        if first == len(label):
+            break
+        j = np.arange(first, len(label))
+        shared = common(i, first, *sides[0])
+        ok = shared >= similarity * (ns[i] + ns[j] - shared)
+        most = np.maximum(1, (EDITS * np.maximum(nh[i], nh[j])).astype(np.int64))
+        few = ~ok & (np.minimum(ns[i], ns[j]) <= FEW) & (np.abs(nh[i] - nh[j]) <= most)
+        if few.any():
+            few &= common(i, first, *sides[1]) >= np.maximum(nw[i], nw[j]) - most
+        if part is not None:
+            ok &= part[j] != part[i]
+            few &= part[j] != part[i]
+        for k in np.flatnonzero(few):
+            ok[k] = _edits(h[i].as_py(), h[int(j[k])].as_py(), int(most[k]))
+        yield from ((i, int(k)) for k in j[ok])
+
+
+def across_crowds(members: DataFrame, label: DataFrame, parts: DataFrame, similarity: float = SIMILARITY, block: int = 16 * BLOCK) -> DataFrame:
+    """(a, b) with a < b: the pairs of :func:`across` that :func:`joined` would keep, in each task one for each two classes.
+
+    A bucket is cut into blocks of about ``block`` nodes; each pair of blocks is a
+    task and gets their contents, so what is shuffled grows with a bucket's blocks and not with its pairs.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("l", "ascending"), ("key", "ascending")]).combine_chunks()
+        node, label = t["key"].to_numpy(), t["l"].to_numpy()
+        part = t["part"].to_numpy() if t["i"][0] != t["j"][0] else None
+        links: dict[tuple, tuple] = {}
+        for i, j in alike(label, part, t["s"].combine_chunks(), t["h"].combine_chunks(), similarity):
+            links.setdefault((label[i], label[j]), (min(node[i], node[j]), max(node[i], node[j])))
+        a, b = np.array(list(links.values()), np.int64).reshape(-1, 2).T
+        return pa.table({"a": a.copy(), "b": b.copy()})
+
+    cut = F.ceil(F.col("c") / block).cast("int")
+    named = unlike(members, label).withColumn("part", F.pmod(F.xxhash64("key"), cut).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), cut - 1)))
+    named = named.select("v", "key", "l", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+    return named.join(parts, "key").groupBy("v", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, s, h): shingle and word hashes of the paragraphs in ``wanted`` (row, key), each from one holder.
 
@@ -337,8 +408,10 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     parts = materialise(contents(docs, wanted), "para-contents")
     # against the least node of each bucket first, then what is left open
     links = materialise(joined(to_heads(members), parts, similarity).unionByName(apart).distinct(), "para-links")
-    rest = materialise(across(members, components(links)), "para-rest")
-    links = materialise(links.unionByName(joined(rest, parts, similarity)).distinct(), "para-links")
+    label = components(links)
+    rest = materialise(across(members.where(F.col("c") <= CROWD), label), "para-rest")
+    crowds = across_crowds(members.where(F.col("c") > CROWD), label, parts, similarity)
+    links = materialise(links.unionByName(joined(rest, parts, similarity)).unionByName(crowds).distinct(), "para-links")
     discard(members, parts, rest)
     label = components(links).select(F.col("node").alias("key"), F.col("class").alias("c"))
     known = nodes.join(label, "key", "left").where(F.col("c").isNotNull() | ~F.col("first").eqNullSafe(F.col("last"))).select("key", F.coalesce("c", "key").alias("class_id"), "first")

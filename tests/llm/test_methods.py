@@ -578,6 +578,34 @@ def test_crowded_bands_are_whole(spark):
     assert substrings.across(members, one).count() == 0
 
 
+def test_a_crowd_of_paragraphs_is_compared_without_writing_its_pairs(spark):
+    """The links of a bucket, whole and in blocks, join what those of all its pairs join."""
+    rng = random.Random(31)
+    texts = set()
+    for n in (9, 16, 60):
+        base = words_of(rng, n)
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.randint(1, 2)):
+                copy[rng.randrange(n)] = words_of(rng, 1)[0]
+            texts.add(" ".join(copy))
+    rows = []
+    for k, x in enumerate(sorted(texts)):
+        t = w.words(w.strings(pa.array([x])))
+        rows.append((k, np.unique(w.grams(t.h, t.at, 5)[0]).view(np.int64).tolist(), t.h.view(np.int64).tolist()))
+    parts = spark.createDataFrame(rows, "key long, s array<long>, h array<long>")
+    members = substrings.buckets(spark.createDataFrame([(k, 5, 100 + k) for k in range(len(rows))], "key long, m0 long, m1 long"), 2)
+    label = spark.createDataFrame([(k, 0) for k in range(0, 30)], "node long, class long")
+    pairs = substrings.across(members, label)
+    want = {(r.a, r.b) for r in substrings.joined(pairs, parts).collect()}
+    assert 50 < len(want) < pairs.count() / 2
+    name = lambda k: 0 if k < 30 else k
+    for block in (1024, 20):
+        got = {(r.a, r.b) for r in substrings.across_crowds(members, label, parts, block=block).collect()}
+        assert got <= want and {tuple(sorted((name(a), name(b)))) for a, b in got} == {tuple(sorted((name(a), name(b)))) for a, b in want}
+        assert len(got) < len(want)
+
+
 def test_similar_paragraphs_join(spark):
     rng = random.Random(11)
     a = words_of(rng, 30)
