@@ -279,13 +279,16 @@ def across(members: DataFrame, label: DataFrame) -> DataFrame:
 def alike(label: np.ndarray, part: np.ndarray | None, s: pa.ListArray, h: pa.ListArray, similarity: float = SIMILARITY) -> Iterable[tuple[int, int]]:
     """(i, j) with i < j that :func:`joined` would keep, of unlike labels (which must be in order) and, if given, unlike parts.
 
-    A word that the other lacks costs an edit, so counts of words in common spare most edit distances.
+    A word that the other lacks, or has less often, costs an edit, so counts of words in common spare most edit distances.
     """
     ns, nh = (pc.list_value_length(x).to_numpy().astype(np.int64) for x in (s, h))
-    words = [np.unique(x) for x in np.split(pc.list_flatten(h).to_numpy(), np.cumsum(nh)[:-1])]
-    nw = np.array([len(x) for x in words])
+    word, row = np.unique(pc.list_flatten(h).to_numpy(), return_inverse=True)[1], np.repeat(np.arange(len(nh)), nh)
+    order = np.lexsort((word, row))
+    word, row = word[order], row[order]
+    new = np.append(True, (word[1:] != word[:-1]) | (row[1:] != row[:-1]))
+    again = np.arange(len(word)) - np.flatnonzero(new)[np.cumsum(new) - 1]  # how often the text had the word before
     sides = []
-    for flat, n in ((pc.list_flatten(s).to_numpy(), ns), (np.concatenate(words), nw)):
+    for flat, n in ((pc.list_flatten(s).to_numpy(), ns), (word * (nh.max() + 1) + again, nh)):
         kinds, ids = np.unique(flat, return_inverse=True)
         sides.append((ids, np.concatenate([[0], np.cumsum(n)]), np.zeros(len(kinds), np.int32)))
 
@@ -306,7 +309,7 @@ def alike(label: np.ndarray, part: np.ndarray | None, s: pa.ListArray, h: pa.Lis
         most = np.maximum(1, (EDITS * np.maximum(nh[i], nh[j])).astype(np.int64))
         few = ~ok & (np.minimum(ns[i], ns[j]) <= FEW) & (np.abs(nh[i] - nh[j]) <= most)
         if few.any():
-            few &= common(i, first, *sides[1]) >= np.maximum(nw[i], nw[j]) - most
+            few &= common(i, first, *sides[1]) >= np.maximum(nh[i], nh[j]) - most
         if part is not None:
             ok &= part[j] != part[i]
             few &= part[j] != part[i]

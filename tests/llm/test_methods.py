@@ -589,6 +589,7 @@ def test_a_crowd_of_paragraphs_is_compared_without_writing_its_pairs(spark):
             for _ in range(rng.randint(1, 2)):
                 copy[rng.randrange(n)] = words_of(rng, 1)[0]
             texts.add(" ".join(copy))
+    texts |= {" ".join(["ah"] * a + ["be"] * b) for a in (9, 14, 20) for b in (7, 8, 13)}
     rows = []
     for k, x in enumerate(sorted(texts)):
         t = w.words(w.strings(pa.array([x])))
