@@ -7,7 +7,9 @@ worked on at once is bounded (``BLOCK`` bytes, or one text if that is longer).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +25,26 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches; its worker waits for the next task without the memory of this one, beside others that work."""
+
+    @wraps(run)
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _pows.get(name)
     if have is None or len(have) < n:

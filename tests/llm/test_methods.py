@@ -285,6 +285,27 @@ def test_token_ids_equal_the_tokenizer():
         assert np.frombuffer(ids(t), np.uint32).tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_token_ids_of_a_block_of_texts():
+    """A block's texts get the ids that each has alone, and a stretch that repeats is encoded once."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, asked = packing.IdBytes(), []
+    whole = ids.whole
+    ids.whole = lambda text: asked.append(len(text)) or whole(text)
+    rng = random.Random(14)
+    texts = ["", " ", "\n", "<|endoftext|>", *("".join(rng.choice("ab é\n\t\r\x1c\x85\xa0\u2003\u3000 'll漢7.") for _ in range(rng.randint(0, 25))) for _ in range(3000))]
+    rng.shuffle(texts)
+    got, at = ids.many(w.strings(pa.array(texts)))
+    for t, a, b in zip(texts, at, at[1:]):
+        assert got[a:b].tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
+    asked.clear()
+    many = words_of(rng, 120_000)
+    got, at = ids.many(w.strings(pa.array(["x " + " ".join(many), "y " + " ".join(many[::-1])])))
+    assert len(at) == 3 and at[1] == at[2] - at[1] == len(got) // 2 and sum(asked) == 2 + sum(len(x) + 1 for x in set(many))
+
+
 def test_packing_is_tight_and_true(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
