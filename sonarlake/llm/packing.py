@@ -1,11 +1,13 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Pieces are spread at random (by row, so no hot key matters) over groups of about
-``GROUP`` pieces. Each group is packed by several islands: a population of
+``GROUP`` pieces. Two pieces that fill a sequence are set together beforehand,
+which costs none. The rest of a group is packed by several islands: a population of
 best-fit packings evolves by crossover that injects whole well-filled bins,
 removes the duplicates and best-fits what was displaced; then every island takes
 its neighbour's elite and evolves again, and the best island's packing is taken.
-A group that reaches the lower bound of its sum stops at once.
+A group that reaches the lower bound of its sum stops at once; any other, of
+whatever size, gets all ``GENERATIONS`` on each island before and after migration.
 
 Defined results: a null or empty text is the single closing id; repeated rows
 are packed as often as they come; an empty table gives an empty table; a text of
@@ -21,6 +23,7 @@ import math
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ END = 2
 GROUP = 8192
 ISLANDS = 2
 POPULATION = 6
-BRED = 60_000  # pieces that an island packs anew in one turn
+GENERATIONS = 400
 BLOCK = 1 << 20  # bytes of texts that are encoded together, or one text
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -164,10 +167,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(w.lean(run), PIECE)
 
 
-def best_fit(items: Iterable[int], sizes: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
-    """Put each item where it leaves least room, opening bins as needed."""
+def placed(items: Iterable[int], sizes: list[int], room: list[int], capacity: int) -> list[int]:
+    """The bin of each item, put where it leaves least room; opens bins as needed."""
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask = 0
+    mask, out = 0, []
     for b, r in enumerate(room):
         if r:
             open_[r].append(b)
@@ -181,75 +184,115 @@ def best_fit(items: Iterable[int], sizes: list[int], bins: list[list[int]], room
             if not open_[r]:
                 mask ^= 1 << r
         else:
-            b, r = len(bins), capacity
-            bins.append([])
+            b, r = len(room), capacity
             room.append(capacity)
-        bins[b].append(i)
+        out.append(b)
         room[b] = r = r - s
         if r:
             open_[r].append(b)
             mask |= 1 << r
+    return out
+
+
+def best_fit(items: Iterable[int], sizes: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
+    """Put each item where it leaves least room, opening bins as needed."""
+    items = list(items)
+    for i, b in zip(items, placed(items, sizes, room, capacity)):
+        if b == len(bins):
+            bins.append([])
+        bins[b].append(i)
 
 
-def fitness(room: list[int], capacity: int) -> float:
-    """Few bins, and unevenly filled ones: the mean square of their filling."""
-    return float(np.mean((1 - np.asarray(room) / capacity) ** 2)) if room else 1.0
+class Packing(NamedTuple):
+    """The bin of each item, the room left in each bin, and what makes one packing better: fewer bins, then unevenly filled ones."""
 
+    bins: np.ndarray
+    room: np.ndarray
+    score: tuple[int, float]
+
+
+def scored(bins: np.ndarray, room: np.ndarray, capacity: int) -> Packing:
+    return Packing(bins, room, (len(room), -float(np.mean((1 - room / capacity) ** 2)) if len(room) else -1.0))
 
-def cross(one: list[list[int]], two: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> tuple[list[list[int]], list[int]]:
-    """Inject a share of the best-filled bins of ``one`` into ``two``."""
-    fill = np.array([sum(sizes[i] for i in b) for b in one])
-    order = np.lexsort((rng.random(len(one)), -fill))
-    take = [one[b] for b in order[: max(1, int(len(one) * rng.uniform(0.2, 0.6)))]]
-    inside = {i for b in take for i in b}
-    bins, loose = [list(b) for b in take], []
-    worst = rng.uniform(0.9, 0.995) * capacity
-    for b in two:  # bins without a piece that is inside already stay whole if they are well filled
-        left = [i for i in b if i not in inside]
-        if len(left) == len(b) and sum(sizes[i] for i in b) >= worst:
-            bins.append(list(b))
-        else:
-            loose += left
-    room = [capacity - sum(sizes[i] for i in b) for b in bins]
-    best_fit(sorted(loose, key=lambda i: -sizes[i]), sizes, bins, room, capacity)
-    return bins, room
 
+def cross(one: Packing, two: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
+    """Inject a share of the best-filled bins of ``one`` into ``two``; items come largest first."""
+    order = np.lexsort((rng.random(len(one.room)), one.room))
+    take = np.full(len(one.room), -1)
+    share = order[: max(1, int(len(order) * rng.uniform(0.2, 0.6)))]
+    take[share] = np.arange(len(share))
+    bins = take[one.bins]
+    # bins without a piece that is inside already stay whole if they are well filled
+    stay = capacity - two.room >= rng.uniform(0.9, 0.995) * capacity
+    stay[two.bins[bins >= 0]] = False
+    keep = np.where(stay, np.cumsum(stay) - 1 + len(share), -1)
+    bins = np.maximum(bins, keep[two.bins])
+    room = np.concatenate([one.room[share], two.room[stay]]).tolist()
+    loose = np.flatnonzero(bins < 0)
+    bins[loose] = placed(loose.tolist(), sizes, room, capacity)
+    return scored(bins, np.array(room), capacity)
 
-def evolve(sizes: list[int], capacity: int, seed: int, immigrant: list[int] | None = None, population: int = POPULATION, generations: int | None = None) -> list[int]:
-    """The bin of each item after some generations on one island."""
-    n, rng = len(sizes), np.random.default_rng(seed)
-    bound = math.ceil(sum(sizes) / capacity)
 
-    def start(noise: float) -> tuple[list[list[int]], list[int]]:
-        bins: list[list[int]] = []
-        room: list[int] = []
-        best_fit(np.argsort(-np.asarray(sizes) * (1 + noise * rng.random(n)), kind="stable").tolist(), sizes, bins, room, capacity)
-        return bins, room
+def twins(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """For each item the number of the pair it fills a bin with, or -1; as many pairs as there can be.
+
+    No packing is lost: what else lies with one of a pair is no larger than the
+    other, so the two can change places.
+    """
+    order = np.argsort(sizes, kind="stable")
+    count = np.bincount(sizes, minlength=capacity + 1)
+    rank = np.empty(len(sizes), np.int64)
+    rank[order] = np.arange(len(sizes)) - np.repeat(np.cumsum(count) - count, count)
+    pairs = np.minimum(count, count[::-1])
+    middle = capacity // 2
+    if capacity % 2 == 0:
+        pairs[middle] = count[middle] // 2
+    half = 2 * sizes == capacity
+    low = np.minimum(sizes, capacity - sizes)
+    first = np.cumsum(pairs[: middle + 1]) - pairs[: middle + 1]
+    return np.where(rank < np.where(half, 2 * pairs[low], pairs[low]), first[low] + np.where(half, rank // 2, rank), -1)
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, immigrant: list[int] | None = None, population: int = POPULATION, generations: int = GENERATIONS) -> list[int]:
+    """The bin of each item after some generations on one island.
+
+    Pairs that fill a bin are set at once (see :func:`twins`); the rest evolves,
+    in all ``generations`` unless it reaches the bound of its sum.
+    """
+    every, rng = np.asarray(sizes, np.int64), np.random.default_rng(seed)
+    pair = twins(every, capacity)
+    left = np.flatnonzero(pair < 0)
+    left = left[np.argsort(-every[left], kind="stable")]
+    size = every[left]
+    listed, n, bound = size.tolist(), len(left), -(-int(size.sum()) // capacity)
+
+    def start(noise: float) -> Packing:
+        order, room = np.argsort(-size * (1 + noise * rng.random(n)), kind="stable"), []
+        bins = np.empty(n, np.int64)
+        bins[order] = placed(order.tolist(), listed, room, capacity)
+        return scored(bins, np.array(room, np.int64), capacity)
 
     people = []
     if immigrant is not None:
-        bins: list[list[int]] = [[] for _ in range(max(immigrant, default=-1) + 1)]
-        for i, b in enumerate(immigrant):
-            bins[b].append(i)
-        people.append((bins, [capacity - sum(sizes[i] for i in b) for b in bins]))
+        bins = np.unique(np.asarray(immigrant, np.int64)[left], return_inverse=True)[1]
+        people.append(scored(bins, capacity - np.bincount(bins, size).astype(np.int64), capacity))
     people.append(start(0.0))
-    score = lambda p: (len(p[0]), -fitness(p[1], capacity))
-    if min(len(p[0]) for p in people) > bound:
+    if min(len(p.room) for p in people) > bound:
         people += [start(0.1 * k) for k in range(1, population + 1 - len(people))]  # ever worse packed, and ever more unlike
-        for _ in range(max(6, min(400, BRED // n)) if generations is None else generations):
-            people.sort(key=score)
-            if len(people[0][0]) <= bound:
+        for _ in range(generations):
+            people.sort(key=lambda p: p.score)
+            if len(people[0].room) <= bound:
                 break
             a, b = rng.choice(len(people), 2, replace=False)
-            child = cross(people[a][0], people[b][0], sizes, capacity, rng)
-            if score(child) < score(people[-1]) and all(score(child) != score(p) for p in people):
+            child = cross(people[a], people[b], listed, capacity, rng)
+            if child.score < people[-1].score and all(child.score != p.score for p in people):
                 people[-1] = child
-    best = min(people, key=score)[0]
-    out = [0] * n
-    for b, items in enumerate(best):
-        for i in items:
-            out[i] = b
-    return out
+    best = min(people, key=lambda p: p.score)
+    out = pair + len(best.room)
+    out[left] = best.bins
+    if immigrant is not None and max(immigrant, default=-1) < out.max(initial=-1):
+        return np.asarray(immigrant).tolist()
+    return out.tolist()
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS) -> DataFrame:
@@ -267,9 +310,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands
     def run(batches, migrated: bool):
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                sizes = [x["length"] for x in r["items"]]
-                out.append(evolve(sizes, capacity, r["g"] * islands + r["island"] + (1 << 40) * migrated, r.get("elite")))
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k] for c in b.schema.names}
+                sizes = row["items"].values.field("length").to_numpy()
+                elite = row["elite"].values.to_numpy() if migrated else None
+                out.append(evolve(sizes, capacity, row["g"].as_py() * islands + row["island"].as_py() + (1 << 40) * migrated, elite))
             cols = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "elite"]
             names = [x for x in b.schema.names if x != "elite"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.list_(pa.int32()))], [*names, "bins"])
@@ -281,9 +326,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands
     second = first.drop("bins").join(elite, ["g", "island"]).select("g", "items", "island", "elite").mapInArrow(w.lean(lambda it: run(it, True)), schema)
     best = second.groupBy("g").agg(F.min_by(F.struct("items", "bins"), F.struct(F.array_max("bins"), "island")).alias("b"))
     seq = best.select("g", F.explode(F.arrays_zip("b.items", "b.bins")).alias("x")).select("x.items.*", (F.col("g") * (1 << 24) + F.col("x.bins")).alias("sequence_id"))
-    placed = seq.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("_row", *parts.columns))).alias("items"))
+    whole = seq.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("_row", *parts.columns))).alias("items"))
     # a bin holds at most `capacity` pieces; offsets are the running sum of lengths
-    runs = placed.withColumn("at", F.expr("aggregate(items, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x.length)))"))
+    runs = whole.withColumn("at", F.expr("aggregate(items, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x.length)))"))
     packed = runs.select("sequence_id", F.posexplode("items").alias("i", "x"), "at").select(*(F.col(f"x.{c}") for c in parts.columns), "sequence_id", F.expr("get(at, i)").alias("offset"))
     return full.unionByName(packed)
 

@@ -347,6 +347,50 @@ def test_evolution_beats_its_seed_on_hard_lists():
     assert better >= 15 and saved >= 15
 
 
+def test_large_groups_evolve_as_long_as_small_ones(monkeypatch):
+    """A whole group out of the bound's reach gets every generation."""
+    born, cross = [], packing.cross
+    monkeypatch.setattr(packing, "cross", lambda *a: born.append(1) or cross(*a))
+    sizes = np.random.default_rng(1).integers(260, 490, packing.GROUP).tolist()
+    seed: list[list[int]] = []
+    packing.best_fit(np.argsort(-np.asarray(sizes), kind="stable").tolist(), sizes, seed, [], 1000)
+    out = packing.evolve(sizes, 1000, 1)
+    assert len(born) == packing.GENERATIONS == 400
+    fill = np.bincount(out, sizes)
+    assert fill.max() <= 1000 and fill.min() > 0 and len(fill) < len(seed)
+
+
+def test_pairs_that_fill_a_bin_cost_no_bin():
+    """Against the fewest bins there can be, by trying all; pairs are as many as there can be."""
+
+    def fewest(sizes, capacity):
+        best = [len(sizes)]
+
+        def place(k, room):
+            if len(room) >= best[0]:
+                return
+            if k == len(sizes):
+                best[0] = len(room)
+                return
+            for b, r in enumerate(room):
+                if r >= sizes[k]:
+                    place(k + 1, [*room[:b], r - sizes[k], *room[b + 1 :]])
+            place(k + 1, [*room, capacity - sizes[k]])
+
+        place(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(2)
+    for k in range(150):
+        capacity = int(rng.integers(7, 13))
+        sizes = rng.integers(1, capacity, rng.integers(0, 9))
+        pair = packing.twins(sizes, capacity)
+        n, left = np.unique(pair[pair >= 0], return_counts=True)[1], sizes[pair < 0].tolist()
+        assert (n == 2).all() and (np.bincount(pair[pair >= 0], sizes[pair >= 0]) == capacity).all()
+        assert not any(a + b == capacity for i, a in enumerate(left) for b in left[:i])
+        assert len(n) + fewest(left, capacity) == fewest(sizes.tolist(), capacity) <= max(packing.evolve(sizes.tolist(), capacity, k), default=-1) + 1
+
+
 def test_line_dedup_against_sql(spark):
     from oracle import compare
 
