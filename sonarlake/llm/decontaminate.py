@@ -121,7 +121,7 @@ def known_words(docs: DataFrame, items: Items) -> DataFrame:
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cols = cols.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), "text")
-    return cols.mapInArrow(run, "doc_id long, row long, n long, pos binary, ids binary, df binary, passages long")
+    return cols.mapInArrow(w.lean(run), "doc_id long, row long, n long, pos binary, ids binary, df binary, passages long")
 
 
 def summed(rows: DataFrame, column: str, kind: type) -> np.ndarray | None:
@@ -137,10 +137,10 @@ def summed(rows: DataFrame, column: str, kind: type) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], [column])
 
     left = rows.rdd.getNumPartitions()
-    rows = rows.select(column).mapInArrow(run, f"{column} binary")
+    rows = rows.select(column).mapInArrow(w.lean(run), f"{column} binary")
     while left > 1:
         left = -(-left // FAN_IN)
-        rows = rows.repartition(left).mapInArrow(run, f"{column} binary")
+        rows = rows.repartition(left).mapInArrow(w.lean(run), f"{column} binary")
     got = rows.collect()
     return np.frombuffer(bytes(got[0][0]), kind) if got else None
 
@@ -178,7 +178,7 @@ def passages(known: DataFrame, weight: np.ndarray, least: int) -> DataFrame:
             cut = np.concatenate([[0], np.cumsum(n[good])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array((at[good] - base[owner]) * STRIDE, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array((pair % size)[member].astype(np.int32)))], ["row", "start", "ids"])
 
-    return known.where("df is null").select("row", "n", "pos", "ids").mapInArrow(run, "row long, start long, ids array<int>")
+    return known.where("df is null").select("row", "n", "pos", "ids").mapInArrow(w.lean(run), "row long, start long, ids array<int>")
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def latent_space(rows: DataFrame, weight: np.ndarray, items: list[np.ndarray], r
                     block(*_rows(b.column(0).slice(s, 2000)), total)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-        got = summed(rows.select("ids").mapInArrow(run, "v binary"), "v", float)
+        got = summed(rows.select("ids").mapInArrow(w.lean(run), "v binary"), "v", float)
         total = np.zeros((size, k))
         for s in range(0, len(off) - 1, 500):
             o = off[s : s + 501]
@@ -372,7 +372,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
                 if len(r):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(np.array(live)[c].astype(np.int32)), pa.array(near[r, c].astype(float))], ["row", "start", "item", "cosine"])
 
-    near = materialise(rows.mapInArrow(search, "row long, start long, item int, cosine double"), "leak-candidates")
+    near = materialise(rows.mapInArrow(w.lean(search), "row long, start long, item int, cosine double"), "leak-candidates")
     per = near.groupBy("row").agg(F.collect_list(F.struct("item", "start", "cosine")).alias("c"))  # of one document each
 
     def decide(batches: Iterable[pa.RecordBatch]):
@@ -394,7 +394,7 @@ def _one_block(docs: DataFrame, items: Items) -> DataFrame | None:
 
     # hashed at every size: the candidates grow with the input, so they aren't broadcast
     asked = known.where("df is null").select("doc_id", "row", "pos", "ids").join(per.hint("shuffle_hash"), "row").select("doc_id", "row", "pos", "ids", "c")
-    return asked.mapInArrow(decide, FOUND)
+    return asked.mapInArrow(w.lean(decide), FOUND)
 
 
 def found_leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS) -> DataFrame:

@@ -35,6 +35,25 @@ def test_word_hashes(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_a_worker_waits_without_the_memory_of_its_task():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) // 1024
+
+    def run(batches):
+        for _ in batches:
+            many = [np.ones(2000) for _ in range(6000)]  # 96 MB in small blocks, and one after them that stays
+            pins.append(np.ones(2000))
+            del many
+            yield held()
+
+    pins: list = []
+    assert list(w.lean(lambda batches: iter(batches))([1, 2])) == [1, 2]
+    before = held()
+    list(w.lean(run)([1]))
+    assert held() < before + 40
+
+
 def test_ftrl_separates_held_out():
     rng = random.Random(1)
     rows = [(" ".join(words_of(rng, 30) + (["vekrum" + rng.choice("abcdef")] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(600)]
